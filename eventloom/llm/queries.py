@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import jaccard, quality
+from eventloom.llm import jaccard, packing, quality
 from eventloom.runtime import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -17,8 +23,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
+
+
 def queries() -> dict:
-    return {"op4_jaccard_join": op4_jaccard_join, "op6_quality_rules": op6_quality_rules}
+    return {"op3_best_fit_packing": op3_best_fit_packing, "op4_jaccard_join": op4_jaccard_join, "op6_quality_rules": op6_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
