@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import jaccard, packing, quality
+from eventloom.llm import html, jaccard, packing, pii, quality, ranking, warc
 from eventloom.runtime import table
 
 
@@ -27,8 +28,40 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = ranking.train(docs, labels.where(~held_out))
+    out = ranking.score(docs, model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+#: In the order of their numbers.
+QUERIES = (
+    op2_pii_sanitisation,
+    op3_best_fit_packing,
+    op4_jaccard_join,
+    op6_quality_rules,
+    op8_html_extraction,
+    op9_warc_archives,
+    op10_quality_ranking,
+)
+
+
 def queries() -> dict:
-    return {"op3_best_fit_packing": op3_best_fit_packing, "op4_jaccard_join": op4_jaccard_join, "op6_quality_rules": op6_quality_rules}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
