@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     rows = docs.select(F.col(doc).alias("__id"), F.col(text).alias("t")).join(known, "__id").select("t", "__y")
 
     def make(batches):
-        for b in batches:
+        for b in filter(len, batches):
             yield pd.DataFrame({"f": [features(t) for t in b["t"]], "y": b["__y"]})
 
     got = rows.mapInPandas(make, "f array<double>, y int").toPandas()
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text"
     """doc, score and predicted, one row per row of docs; null and empty texts are scored as no words."""
 
     def rows(batches):
-        for b in batches:
+        for b in filter(len, batches):
             s = model.score(np.array([features(t) for t in b["t"]]).reshape(-1, len(FEATURES)))
             yield pd.DataFrame({doc: b["d"].astype("Int64"), "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 

@@ -128,7 +128,7 @@ def archives(pages: DataFrame, page: str = "page_id", url: str = "url", markup:
 
     def write(batches):
         held, size, n = [], 0, 0
-        for b in batches:
+        for b in filter(len, batches):
             for i, u, h, f in zip(b["page"], b["url"], b["html"], b["first"], strict=True):
                 payload = h.encode("utf-8", "surrogatepass")
                 ident = "null" if pd.isna(i) else str(int(i))
@@ -158,7 +158,7 @@ def records(content: DataFrame, payloads: bool = False) -> DataFrame:
         return int(m[1]) if m else None
 
     def read(batches):
-        for b in batches:
+        for b in filter(len, batches):
             for c in b["content"]:
                 rows = []
                 for h, payload in read_archive(bytes(c)):
