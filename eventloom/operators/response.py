@@ -128,7 +128,7 @@ def power_law_weight(energy: Column, from_norm: float, from_index: float, to_nor
 def ring_weight(offset: Column, weight: Column, rings: list[float], factors: list[float]) -> Column:
     """weight times the factor of the half-open offset ring, 0 outside."""
     out = F.lit(0.0)
-    for low, high, f in zip(rings, rings[1:], factors, strict=True):
+    for low, high, f in zip(rings[:-1], rings[1:], factors, strict=True):
         out = F.when((offset >= low) & (offset < high), weight * f).otherwise(out)
     return out
 

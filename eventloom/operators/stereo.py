@@ -23,14 +23,15 @@ def weight_of(kind: str, intensity: str | None = None, length: str | None = None
 def mean_and_std(value: Column, weight: Column, valid: Column) -> tuple[Column, Column]:
     """Aggregates: weighted mean and population standard deviation over valid rows, NaN without weight.
 
-    The second moment is taken about the mean of all by the shift-free sum of squares in one pass.
+    One pass: the variance is the mean square less the squared mean, and 0 where that is rounding noise.
     """
     x, w = F.when(valid, value.cast("double")), F.when(valid, weight)
     n = F.sum(w)
     m = F.try_divide(F.sum(w * x), n)
-    v = F.try_divide(F.sum(w * x * x), n) - m * m
+    square = F.try_divide(F.sum(w * x * x), n)
+    v = F.when(square - m * m > 1e-14 * square, square - m * m).when(square.isNotNull(), 0.0)
     nan = F.lit(float("nan"))
-    return F.coalesce(m, nan), F.coalesce(F.sqrt(F.greatest(v, F.lit(0.0))), nan)
+    return F.coalesce(m, nan), F.coalesce(F.sqrt(v), nan)
 
 
 def combine_mean(tel: DataFrame, event: list[str], value: str, tel_id: str, weight: Column | None = None, log: bool = False, valid: Column | None = None) -> DataFrame:
