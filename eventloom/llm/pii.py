@@ -2,7 +2,7 @@
 
 Every identifier found is a protected entity. Corpus co-occurrence estimates how strongly a term near it reveals it:
 PMI(e, t) = log2(N n_et / (n_e n_t)) against the entity's own information IC(e) = log2(N / n_e), where n_et, n_e and
-n_t count distinct contexts (so copies of a passage count once) and N all terms of the corpus. A term whose PMI
+n_t count documents and N is all of them. A term whose PMI
 reaches the share `threshold` of IC for some entity discloses it: it is generalised to its kind wherever it stands, and
 removed where the share reaches `removal`. Counts cover all documents. Candidate terms reach the tasks as a bitmap of
 fixed size that only leaves terms out early; an exact join follows.
@@ -11,6 +11,7 @@ fixed size that only leaves terms out early; an exact join follows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -81,64 +82,80 @@ def _input(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(t).alias("key"), t.alias("t"))
 
 
+def _bitmap(terms: DataFrame):
+    """The terms as a broadcast bitmap of BITS bits: at most that many numbers reach the driver, whatever the corpus."""
+
+    def spots(batches):
+        for b in filter(len, batches):
+            yield pd.DataFrame({"spot": _spot(b["term"].tolist()).astype(np.int32)})
+
+    bitmap = np.zeros(BITS, bool)
+    bitmap[terms.select("term").mapInPandas(spots, "spot int").distinct().toPandas()["spot"].to_numpy(np.int64)] = True
+    return terms.sparkSession.sparkContext.broadcast(np.packbits(bitmap) if bitmap.any() else None)
+
+
 def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.95, removal: float = 1.0, support: int = 3) -> tuple[DataFrame, DataFrame]:
     """(terms, places): the terms that give an entity away, with the share of its information and whether to remove
     them; and every place (doc, key, start, end, term) of such a term.
 
-    `support`: distinct contexts of entity and term together, below which they count as chance. A corpus without
-    identifiers has no such terms. `key` is the hash of the text, so that equal rows share their places.
+    `support`: distinct contexts that entity and term share, below which they count as chance; so copies of one passage
+    are no evidence. A corpus without identifiers has no such terms. `key` is the hash of the text: equal rows share places.
     """
     d = _input(docs, doc, text)
 
     def mentions(batches):
-        for b in batches:
-            rows, n = [], 0
+        for b in filter(len, batches):
+            rows = []
             for t in b["t"]:
+                near: dict[tuple[str, str], int] = {}
                 for start, kind, end in find_base(t):
-                    near = _around(t, start, end)
-                    context = xxhash.xxh3_64_intdigest("\0".join(near)) >> 1
-                    rows += [(_entity(t, kind, start, end), x, context) for x in {"", *near}]
-            yield pd.DataFrame(rows, columns=["entity", "term", "context"])
-
-    seen = d.select("t").mapInPandas(mentions, "entity string, term string, context long").distinct()
-    n_et = cut(seen.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support))
+                    terms = _around(t, start, end)
+                    context, entity = xxhash.xxh3_64_intdigest("\0".join(terms)) >> 1, _entity(t, kind, start, end)
+                    for x in {"", *terms}:
+                        near.setdefault((entity, x), context)
+                rows += [(e, x, c) for (e, x), c in near.items()]
+            if rows:
+                yield pd.DataFrame(rows, columns=["entity", "term", "context"])
+
+    # Documents of each context first, so that a hot entity is added up before it is counted.
+    seen = d.select("t").mapInPandas(mentions, "entity string, term string, context long").groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    n_et = cut(seen.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("contexts")).where(F.col("contexts") >= support))
     n_e = n_et.where("term = ''").select("entity", F.col("n").alias("n_e"))
-    both = n_et.where("term <> ''").join(n_e, "entity").select("term", "entity", F.col("n").alias("n_et"), "n_e")
-
-    def spots(batches):
-        for b in batches:
-            yield pd.DataFrame({"spot": _spot(b["term"].tolist()).astype(np.int32)})
-
-    bitmap = np.zeros(BITS, bool)  # at most BITS numbers, whatever the corpus
-    bitmap[both.select("term").distinct().mapInPandas(spots, "spot int").distinct().toPandas()["spot"].to_numpy(np.int64)] = True
-    sent = d.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-
-    def places(batches):
-        known = np.unpackbits(sent.value).astype(bool)
-        for b in batches:
-            rows, total = [], 0
-            for i, key, t in zip(b["doc"], b["key"], b["t"], strict=True):
-                terms = _TERM.findall(t.lower())
-                total += len(terms)
-                if terms and known[_spot(terms)].any():
-                    for m in _TERM.finditer(t):
-                        if known[_spot([m[0].lower()])][0]:
-                            context = xxhash.xxh3_64_intdigest("\0".join(_around(t, m.start(), m.end()))) >> 1
-                            rows.append((i, key, m.start(), m.end(), m[0].lower(), context))
-            rows.append((None, 0, total, 0, None, 0))
-            out = pd.DataFrame(rows, columns=["doc", "key", "start", "end", "term", "context"])
-            yield out.astype({"doc": "Int64"})
-
-    found = cut(d.mapInPandas(places, "doc long, key long, start long, end long, term string, context long"))
-    total = found.where("term is null").agg(F.coalesce(F.sum("start"), F.lit(0))).first()[0]
-    found = found.where("term is not null")
-    n_t = found.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(max(total, 2)))
+    both = cut(n_et.where("term <> ''").join(n_e, "entity").select("term", "entity", F.col("n").alias("n_et"), "n_e"))
+    sent = _bitmap(both)
+
+    def frequencies(batches):
+        known = None if sent.value is None else np.unpackbits(sent.value).astype(bool)
+        for b in filter(len, batches):
+            n: Counter = Counter()
+            for t in b["t"] if known is not None else ():
+                terms = list(set(_TERM.findall(t.lower())))
+                if terms:
+                    n.update(terms[i] for i in np.flatnonzero(known[_spot(terms)]))
+            if n:
+                yield pd.DataFrame({"term": list(n.keys()), "n": list(n.values())})
+
+    n_t = d.select("t").mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    n = F.lit(float(max(docs.count(), 2)))
     pmi = F.log2(n * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     share = F.round(pmi / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9)), 9)
-    terms = both.join(n_t, "term").select("term", "entity", share.alias("share")).where(F.col("share") >= threshold)
-    terms = terms.groupBy("term").agg(F.max("share").alias("share")).withColumn("remove", F.col("share") >= removal)
-    return terms, found.drop("context").distinct()
+    terms = both.join(n_t, "term").select("term", share.alias("share")).where(F.col("share") >= threshold)
+    terms = cut(terms.groupBy("term").agg(F.max("share").alias("share")).withColumn("remove", F.col("share") >= removal))
+    wanted = _bitmap(terms)
+
+    def places(batches):
+        known = None if wanted.value is None else np.unpackbits(wanted.value).astype(bool)
+        for b in filter(len, batches):
+            rows = []
+            for i, key, t in zip(b["doc"], b["key"], b["t"], strict=True) if known is not None else ():
+                found = _TERM.findall(t.lower())
+                if found and known[_spot(found)].any():
+                    rows += [(i, key, m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(t) if known[_spot([m[0].lower()])][0]]
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc", "key", "start", "end", "term"]).astype({"doc": "Int64"})
+
+    found = d.mapInPandas(places, "doc long, key long, start long, end long, term string")
+    return terms, found.join(terms.select("term"), "term", "left_semi").distinct()
 
 
 def _name(kind: Column) -> Column:
@@ -158,13 +175,12 @@ def find(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> Dat
     d = _input(docs, doc, text)
 
     def base(batches):
-        for b in batches:
+        for b in filter(len, batches):
             yield pd.DataFrame({"doc": b["doc"].astype("Int64"), "key": b["key"], "base": [[{"start": s, "kind": k, "end": e} for s, k, e in find_base(t)] for t in b["t"]]})
 
     rows = d.mapInPandas(base, "doc long, key long, base array<struct<start:long,kind:int,end:long>>")
     terms, places = disclosing_terms(docs, doc, text, **how)
-    extra = places.join(terms.select("term"), "term", "left_semi")
-    extra = extra.groupBy("doc", "key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("extra"))
+    extra = places.groupBy("doc", "key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("extra"))
     extra = extra.select(F.col("doc").alias("f"), F.col("key").alias("k"), "extra")
     free = F.filter("extra", lambda x: ~F.exists("base", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
     rows = rows.join(extra, (rows["key"] == extra["k"]) & rows["doc"].eqNullSafe(extra["f"]), "left")
