@@ -29,8 +29,12 @@ from eventloom.runtime import cut
 
 #: Size of the table that shingle frequencies are counted in; only ranks depend on it, so collisions cost no link.
 BUCKETS = 1 << 18
-#: Pairs compared one by one at the end, for each window entry.
-REST = 20
+#: Bits of the map that finds the documents to compare in the scan.
+SPOTS = 1 << 22
+#: Pairs that the last join may look at, for each entry of a region.
+REST = 100
+#: Width of a band of set sizes, as a logarithm.
+BAND = 0.02
 
 
 def _buckets(s: np.ndarray) -> np.ndarray:
@@ -42,7 +46,7 @@ def shingle_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
     def count(batches):
         n = np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in filter(len, batches):
             for t in b["t"]:
                 np.add.at(n, _buckets(tx.shingle_set(t, k)), 1)
         at = np.flatnonzero(n)
@@ -59,7 +63,7 @@ def _windows(docs: DataFrame, k: int, num: int, den: int, counts) -> DataFrame:
 
     def rows(batches):
         rank = counts.value
-        for b in batches:
+        for b in filter(len, batches):
             fp, n, window = [], [], []
             for t in b["t"]:
                 s = tx.shingle_set(t, k)
@@ -72,13 +76,17 @@ def _windows(docs: DataFrame, k: int, num: int, den: int, counts) -> DataFrame:
     return docs.mapInPandas(rows, "doc long, key long, fp binary, n int, window array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, k: int, spots) -> DataFrame:
+    """fp and set of the documents whose key may be among those asked for."""
+
     def rows(batches):
-        for b in batches:
-            s = [tx.shingle_set(t, k) for t in b["t"]]
-            yield pd.DataFrame({"fp": [xxhash.xxh3_128_digest(x.tobytes()) for x in s], "s": [x.view(np.int64) for x in s]})
+        asked = np.unpackbits(spots.value).astype(bool)
+        for b in filter(len, batches):
+            s = [tx.shingle_set(t, k) for t in b["t"][asked[b["key"].to_numpy() & (SPOTS - 1)]]]
+            if s:
+                yield pd.DataFrame({"fp": [xxhash.xxh3_128_digest(x.tobytes()) for x in s], "s": [x.view(np.int64) for x in s]})
 
-    return docs.select("t").mapInPandas(rows, "fp binary, s array<long>")
+    return docs.select("key", "t").mapInPandas(rows, "fp binary, s array<long>")
 
 
 def _may_link(num: int, den: int) -> Column:
@@ -97,28 +105,32 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    d = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.col(text).alias("t"))
+    d = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(doc, text).alias("key"), F.col(text).alias("t"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs, text, k))
-    rows = cut(_windows(d, k, num, den, counts))
-    # Points: one for each distinct set, with the row to fetch its text from.
-    own = rows.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc", "key")).alias("at"), F.first("n").alias("n"), F.first("window").alias("window"))
-    points = cut(own)
-    posts = points.select("fp", "n", F.posexplode("window").alias("pos", "pivot"))
-    centre = lambda d: d.groupBy("pivot").agg(F.count("*").alias("m"), F.min(F.struct("pos", "fp", "n")).alias("x")).where("m > 1")
-    region = cut(posts.join(centre(posts), "pivot").select("pivot", "m", "x", F.struct("pos", "fp", "n").alias("y")))
+    rows = cut(_windows(d, k, num, den, counts).drop("window"))
+    # Points: one for each distinct set, with the row to fetch its text from and a short key of its own.
+    own = _windows(d, k, num, den, counts).where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc", "key")).alias("at"), F.first("n").alias("n"), F.first("window").alias("window"))
+    points = cut(own.select("fp", "at.doc", "at.key", "n", "window", F.monotonically_increasing_id().alias("c")))
+    posts = points.select("c", "n", F.posexplode("window").alias("pos", "pivot"))
+    shared = posts.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1")
+    region = cut(posts.join(shared, "pivot").select("pivot", "m", F.struct("pos", "c", "n").alias("y")))
     size = region.count()
 
     may = _may_link(num, den)
-    pairs = region.where((F.col("x.fp") != F.col("y.fp")) & may).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
-    pairs = cut(pairs)
-    rest = region.where("x.fp <> y.fp and m > 2").select("pivot", "y")
-    # Sets are made for the points that may be compared.
-    active = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(rest.select("y.fp")).distinct()
-    fetch = points.join(active, "fp", "left_semi").select(F.col("at.doc").alias("f"), F.col("at.key").alias("key")).distinct()
-    texts = d.join(fetch, (d["key"] == fetch["key"]) & d["doc"].eqNullSafe(fetch["f"]), "left_semi")
-    sets = cut(_sets(texts, k).join(active, "fp", "left_semi").dropDuplicates(["fp"]))
-
+    pair = (F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
+    centre = region.groupBy("pivot").agg(F.min("y").alias("x"))
+    first = region.join(centre, "pivot").where("x.c <> y.c")
+    pairs = cut(first.where(may).select(*pair).distinct())
+    rest = cut(first.where("m > 2").select("pivot", "y"))
     def links_of(p: DataFrame) -> DataFrame:
+        """The pairs that link. Only the documents of the pairs get their sets made; a bitmap of fixed size finds them in the
+        scan, an exact join follows."""
+        wanted = cut(points.join(p.select(F.col("a").alias("c")).union(p.select("b")).distinct(), "c", "left_semi").select("fp", "c", "key"))
+        found = wanted.select(F.col("key").bitwiseAND(SPOTS - 1).alias("spot")).distinct().toPandas()["spot"].to_numpy(np.int64)
+        asked = np.zeros(SPOTS, bool)
+        asked[found] = True
+        sets = _sets(d, k, spark.sparkContext.broadcast(np.packbits(asked)))
+        sets = cut(sets.join(wanted.select("fp", "c"), "fp").select("c", "s").dropDuplicates(["c"]))
         sa, sb = sets.toDF("a", "sa"), sets.toDF("b", "sb")
         both = F.size(F.array_intersect("sa", "sb"))
         return p.join(sa, "a").join(sb, "b").where(both * (den + num) >= num * (F.size("sa") + F.size("sb"))).select("a", "b")
@@ -127,31 +139,35 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     done = pairs
     comp = graph.components(links)
     while True:
-        c = comp.toDF("fp", "c")
-        rest = rest.select("pivot", F.col("y.pos").alias("pos"), F.col("y.fp").alias("fp"), F.col("y.n").alias("n")).join(c, "fp", "left")
-        rest = rest.select("pivot", F.struct("pos", "fp", "n", F.coalesce("c", "fp").alias("c")).alias("y"))
-        lead = rest.groupBy("pivot").agg(F.min("y").alias("x"), F.min("y.c").alias("c0"), F.max("y.c").alias("c1")).where("c0 <> c1").select("pivot", "x")
-        rest = cut(rest.join(lead, "pivot").select("pivot", "x", "y"))
-        todo = rest.groupBy("pivot").agg((F.count("*") * F.count_if(F.col("x.c") != F.col("y.c"))).alias("p")).agg(F.sum("p")).first()[0]
+        rest = rest.select("pivot", "y.pos", "y.n", F.col("y.c").alias("c")).join(comp.toDF("c", "g"), "c", "left")
+        rest = rest.select("pivot", F.struct("pos", "c", "n", F.coalesce("g", "c").alias("g")).alias("y"))
+        # The largest component of each region, and what stands outside it.
+        share = rest.groupBy("pivot", F.col("y.g").alias("g")).agg(F.count("*").alias("n"), F.min("y").alias("x"))
+        share = share.groupBy("pivot").agg(F.min("x").alias("x"), F.max(F.struct("n", "g")).alias("top"), F.sum("n").alias("m")).where("top.n < m")
+        rest = cut(rest.join(share.select("pivot", "x", F.col("top.g").alias("main")), "pivot").select("pivot", "main", "x", "y"))
+        # What may link is within a range of sizes: members meet by bands of sizes.
+        band = lambda n: F.floor(F.log(n.cast("double")) / F.lit(BAND)).cast("int")
+        n, most = F.col("y.n"), F.floor((F.col("y.n") - F.col("y.pos")) * (den + num) / num) - F.col("y.n")
+        low, high = F.ceil(n * num / den), F.least(most, F.floor(n * den / num))
+        outer = rest.where((F.col("y.g") != F.col("main")) & (low <= high)).select("pivot", F.col("y").alias("x"), F.explode(F.sequence(band(low), band(high))).alias("band"))
+        inner = rest.select("pivot", "y", band(n).alias("band"))
+        per = lambda d, c: d.groupBy("pivot", "band").agg(F.count("*").alias(c))
+        todo = per(outer, "p").join(per(inner, "q"), ["pivot", "band"]).agg(F.sum(F.col("p") * F.col("q"))).first()[0]
         if not todo:
             break
         last = todo <= REST * size
-        if last:
-            out = rest.where("x.c <> y.c").select("pivot", F.col("y").alias("x"))
-            cand = out.join(rest.select("pivot", "y"), "pivot")
-        else:
-            cand = rest
-        cand = cand.where((F.col("x.c") != F.col("y.c")) & may).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
-        cand = cut(cand.join(done, ["a", "b"], "left_anti"))
-        more = cut(links_of(cand))
+        left = outer.join(inner, ["pivot", "band"]) if last else rest
+        new = left.where((F.col("x.g") != F.col("y.g")) & may).select(*pair).distinct()
+        new = cut(new.join(done, ["a", "b"], "left_anti"))
+        more = cut(links_of(new))
         if not more.isEmpty():
             links = links.union(more)
             comp = graph.components(links)
         if last:
             break
-        done = done.union(cand)
-        rest = rest.where("x.fp <> y.fp").select("pivot", "y")
-    least = points.join(comp.toDF("fp", "c"), "fp", "left").select("fp", F.coalesce("c", "fp").alias("c"), F.col("at.doc").alias("doc"))
-    least = least.join(least.groupBy("c").agg(F.min("doc").alias("component_id")), "c").select("fp", "component_id")
+        done = done.union(new)
+        rest = rest.where("x.c <> y.c").select("pivot", "y")
+    least = points.join(comp.toDF("c", "g"), "c", "left").select("fp", F.coalesce("g", "c").alias("g"), "doc")
+    least = least.join(least.groupBy("g").agg(F.min("doc").alias("component_id")), "g").select("fp", "component_id")
     out = rows.join(least, "fp", "left").select("doc", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumnRenamed("doc", doc)
