@@ -37,11 +37,10 @@ def token_bytes(texts, path: str) -> list[bytes]:
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True
     memo = _memo.setdefault(path, {})
     out = []
     for t in texts:
-        parts = (t or "").encode("utf-8").lower().split()
+        parts = (t or "").encode("utf-8").split()
         new = list({p for p in parts if p not in memo})
         for i in range(0, len(new), 10_000):
             some = new[i : i + 10_000]
