@@ -110,13 +110,13 @@ def fit(f: np.ndarray, label: np.ndarray, pairs: int = 40_000, ridge: float = 1e
 def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality", most: int = 20_000) -> Model:
     """Fit on the labelled documents, at most about `most` of them: those with the smallest hashes of their id.
 
-    Rows without a label, or with another than 0 or 1, teach nothing.
+    Rows without a label, or with another than 0 or 1, teach nothing; repeated labels count once.
     """
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc).alias("__id"), F.col(label).cast("int").alias("__y"))
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc).alias("__id"), F.col(label).cast("int").alias("__y")).distinct()
     n = known.count()
     share = min(1.0, most / max(n, 1))
     known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select(F.col(doc).alias("__id"), F.col(text).alias("t")).join(known, "__id").select("t", "__y")
+    rows = docs.select(F.col(doc).alias("__id"), F.col(text).alias("t")).join(F.broadcast(known), "__id").select("t", "__y")  # at most about `most` rows are sent
 
     def make(batches):
         for b in filter(len, batches):
