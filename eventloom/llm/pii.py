@@ -1,17 +1,21 @@
 """Personal data: patterns for direct identifiers, and information-theoretic sanitisation of what gives them away.
 
-Every identifier found is a protected entity. Corpus co-occurrence estimates how strongly a term near it reveals it:
+Every identifier found is a protected entity. Co-occurrence over whole texts estimates how strongly a term reveals it:
 PMI(e, t) = log2(N n_et / (n_e n_t)) against the entity's own information IC(e) = log2(N / n_e), where n_et, n_e and
 n_t count documents and N is all of them. A term whose PMI
-reaches the share `threshold` of IC for some entity discloses it: it is generalised to its kind wherever it stands, and
+reaches the share `threshold` of IC for some entity discloses it, unless chance alone would bring the two together as often:
+the tail of the hypergeometric distribution over different texts, so that rare entities count where the corpus is large
+enough to tell. It is generalised to its kind wherever it stands, and
 removed where the share reaches `removal`. Counts cover all documents. Candidate terms reach the tasks as a bitmap of
 fixed size that only leaves terms out early; an exact join follows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,11 +31,10 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W_]+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-#: Characters on each side of a place that make its context.
-REACH = 80
-BITS = 1 << 22
+#: Bits of the bitmap, and of each of the regions it is put together from.
+BITS, REGION = 1 << 26, 1 << 18
 
 
 def _luhn(digits: str) -> bool:
@@ -59,12 +62,19 @@ def find_base(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _around(text: str, start: int, end: int) -> list[str]:
-    """Terms that lie whole within REACH characters of the place."""
-    a, b = max(0, start - REACH), min(len(text), end + REACH)
-    left = [m[0] for m in _TERM.finditer(text, max(0, a - 1), start) if m.start() >= a and (a == 0 or m.start() > a or not text[a - 1].isalpha())]
-    right = [m[0] for m in _TERM.finditer(text, end, b) if m.end() < b or b == len(text) or not text[b].isalpha()]
-    return [t.lower() for t in left + right]
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of all terms of the text that touch none of the identifiers."""
+    out, i, end = [], 0, 0
+    for m in _TERM.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            end, i = max(end, spans[i][2]), i + 1
+        if m.start() >= end:
+            out.append((m.start(), m.end(), m[0].lower()))
+    return out
+
+
+def _bag(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    return {t for _, _, t in _terms(text, spans)} if spans else {t.lower() for t in set(_TERM.findall(text))}
 
 
 def _entity(text: str, kind: int, start: int, end: int) -> str:
@@ -83,74 +93,116 @@ def _input(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def _bitmap(terms: DataFrame):
-    """The terms as a broadcast bitmap of BITS bits: at most that many numbers reach the driver, whatever the corpus."""
+    """The terms as a broadcast bitmap of BITS bits: at most that many bits reach the driver, whatever the corpus."""
 
     def spots(batches):
         for b in filter(len, batches):
-            yield pd.DataFrame({"spot": _spot(b["term"].tolist()).astype(np.int32)})
+            x = np.unique(_spot(b["term"].tolist()))
+            yield pd.DataFrame({"region": (x // REGION).astype(np.int32), "spot": (x % REGION).astype(np.int32)})
+
+    def packed(g: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(REGION, bool)
+        bits[g["spot"].to_numpy()] = True
+        return pd.DataFrame({"region": g["region"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+    found = terms.select("term").mapInPandas(spots, "region int, spot int").distinct().groupBy("region").applyInPandas(packed, "region int, bits binary")
+    bitmap = np.zeros((BITS // REGION, REGION // 8), np.uint8)
+    for r in (rows := found.collect()):
+        bitmap[r["region"]] = np.frombuffer(r["bits"], np.uint8)
+    return terms.sparkSession.sparkContext.broadcast(bitmap.reshape(-1) if rows else None)
+
+
+def _known(bitmap: np.ndarray, terms: list[str]) -> set[str]:
+    """Those of the terms whose bits are set."""
+    if not terms:
+        return set()
+    x = _spot(terms)
+    return {terms[i] for i in np.flatnonzero(bitmap[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1)}
 
-    bitmap = np.zeros(BITS, bool)
-    bitmap[terms.select("term").mapInPandas(spots, "spot int").distinct().toPandas()["spot"].to_numpy(np.int64)] = True
-    return terms.sparkSession.sparkContext.broadcast(np.packbits(bitmap) if bitmap.any() else None)
 
+@lru_cache(100_000)
+def chance(n: int, n_e: int, n_t: int, n_et: int) -> float:
+    """Probability that n_e and n_t of n texts, drawn without regard to each other, have at least n_et in common."""
 
-def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.95, removal: float = 1.0, support: int = 3) -> tuple[DataFrame, DataFrame]:
+    def choose(a: int, b: int) -> float:
+        return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+
+    p = 0.0
+    for i in range(max(n_et, n_e + n_t - n), min(n_e, n_t) + 1):
+        q = math.exp(choose(n_e, i) + choose(n - n_e, n_t - i) - choose(n, n_t))
+        p += q
+        if i * n > n_e * n_t and q < 1e-12 * p:
+            break
+    return min(p, 1.0)
+
+
+def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.95, removal: float = 1.0, level: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """(terms, places): the terms that give an entity away, with the share of its information and whether to remove
     them; and every place (doc, key, start, end, term) of such a term.
 
-    `support`: distinct contexts that entity and term share, below which they count as chance; so copies of one passage
-    are no evidence. A corpus without identifiers has no such terms. `key` is the hash of the text: equal rows share places.
+    `level`: chance of meeting as often without regard to each other, above which a pair is no evidence. It counts
+    different texts, so copies are no evidence, and is not divided by the number of pairs: a term missed costs more than a
+    term too many. A corpus without identifiers has no such terms. `key` is the hash of the text: equal rows share places.
     """
     d = _input(docs, doc, text)
 
     def mentions(batches):
         for b in filter(len, batches):
             rows = []
-            for t in b["t"]:
-                near: dict[tuple[str, str], int] = {}
-                for start, kind, end in find_base(t):
-                    terms = _around(t, start, end)
-                    context, entity = xxhash.xxh3_64_intdigest("\0".join(terms)) >> 1, _entity(t, kind, start, end)
-                    for x in {"", *terms}:
-                        near.setdefault((entity, x), context)
-                rows += [(e, x, c) for (e, x), c in near.items()]
+            for key, t in zip(b["key"], b["t"], strict=True):
+                if spans := find_base(t):
+                    rows.append((key, sorted({_entity(t, kind, start, end) for start, kind, end in spans}), " ".join(sorted(_bag(t, spans)))))
             if rows:
-                yield pd.DataFrame(rows, columns=["entity", "term", "context"])
+                yield pd.DataFrame(rows, columns=["key", "entities", "terms"])
 
-    # Documents of each context first, so that a hot entity is added up before it is counted.
-    seen = d.select("t").mapInPandas(mentions, "entity string, term string, context long").groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    n_et = cut(seen.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("contexts")).where(F.col("contexts") >= support))
-    n_e = n_et.where("term = ''").select("entity", F.col("n").alias("n_e"))
-    both = cut(n_et.where("term <> ''").join(n_e, "entity").select("term", "entity", F.col("n").alias("n_et"), "n_e"))
-    sent = _bitmap(both)
+    # One row for each different text with identifiers, and how many documents have it.
+    seen = d.select("key", "t").mapInPandas(mentions, "key long, entities array<string>, terms string")
+    seen = cut(seen.groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
+    each = seen.select("key", "n", F.explode("entities").alias("entity"))
+    n_e = each.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("e_texts"))
+    words = F.explode(F.split("terms", " ")).alias("term")
+    sent = _bitmap(seen.select(words).where("term <> ''"))
 
     def frequencies(batches):
-        known = None if sent.value is None else np.unpackbits(sent.value).astype(bool)
+        bitmap = sent.value
         for b in filter(len, batches):
             n: Counter = Counter()
-            for t in b["t"] if known is not None else ():
-                terms = list(set(_TERM.findall(t.lower())))
-                if terms:
-                    n.update(terms[i] for i in np.flatnonzero(known[_spot(terms)]))
-            if n:
-                yield pd.DataFrame({"term": list(n.keys()), "n": list(n.values())})
+            for t in b["t"] if bitmap is not None else ():
+                n.update(_bag(t, find_base(t)))
+            known = _known(bitmap, list(n)) if n else ()
+            if known:
+                yield pd.DataFrame({"term": list(known), "n": [n[t] for t in known]})
+
+    @F.pandas_udf("double")
+    def by_chance(n: pd.Series, n_e: pd.Series, n_t: pd.Series, n_et: pd.Series) -> pd.Series:
+        return pd.Series([chance(*x) for x in zip(n.tolist(), n_e.tolist(), n_t.tolist(), n_et.tolist(), strict=True)], dtype=float)
 
     n_t = d.select("t").mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    n = F.lit(float(max(docs.count(), 2)))
-    pmi = F.log2(n * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    total = max(docs.count(), 2)
+    n = F.lit(float(total))
+    pmi = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.round(pmi / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9)), 9)
-    terms = both.join(n_t, "term").select("term", share.alias("share")).where(F.col("share") >= threshold)
-    terms = cut(terms.groupBy("term").agg(F.max("share").alias("share")).withColumn("remove", F.col("share") >= removal))
+    # As n_et is n_e at most, a term in more documents than `bound` cannot reach the threshold for any entity of the text: only the others are paired.
+    bound = F.pow(n, F.lit(1 - threshold)) * F.pow(F.col("most"), F.lit(threshold)) * 1.001
+    most = each.join(n_e, "entity").groupBy("key").agg(F.max("n_e").alias("most"))
+    rare = seen.join(most, "key").select("key", bound.alias("bound"), words).where("term <> ''").join(n_t, "term").where("n_t <= bound")
+    n_et = rare.join(each, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"), F.first("n_t").alias("n_t"))
+    pairs = n_et.join(n_e, "entity").withColumn("share", share).where(F.col("share") >= threshold)
+    copies = F.col("n_et") - F.col("texts")
+    pairs = pairs.where(by_chance(F.lit(total) - copies, "e_texts", F.col("n_t") - copies, "texts") <= level)
+    terms = cut(pairs.groupBy("term").agg(F.max("share").alias("share")).withColumn("remove", F.col("share") >= removal))
     wanted = _bitmap(terms)
 
     def places(batches):
-        known = None if wanted.value is None else np.unpackbits(wanted.value).astype(bool)
+        bitmap = wanted.value
         for b in filter(len, batches):
-            rows = []
-            for i, key, t in zip(b["doc"], b["key"], b["t"], strict=True) if known is not None else ():
-                found = _TERM.findall(t.lower())
-                if found and known[_spot(found)].any():
-                    rows += [(i, key, m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(t) if known[_spot([m[0].lower()])][0]]
+            rows, known = [], set()
+            if bitmap is not None:
+                bags = [{t.lower() for t in set(_TERM.findall(t))} for t in b["t"]]
+                known = _known(bitmap, list(set().union(*bags)))
+            for i, key, t, bag in zip(b["doc"], b["key"], b["t"], bags, strict=True) if known else ():
+                if not known.isdisjoint(bag):
+                    rows += [(i, key, start, end, x) for start, end, x in _terms(t, find_base(t)) if x in known]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc", "key", "start", "end", "term"]).astype({"doc": "Int64"})
 

@@ -99,6 +99,39 @@ def test_generalise_below_removal(spark):
     assert any("<term>" in r.text for r in pii.sanitise(d, removal=2.0).collect())
 
 
+def test_whole_text_and_short_terms_count(spark):
+    """A short and an alphanumeric term far from an identifier that two texts have; copies of one text are no evidence."""
+    far = "filler " * 60
+    rows = [f"Qi R2D2 {far} anna@x.org {w}" for w in ("one", "two")] + [f"{far} number {i % 7}" for i in range(50)]
+    rows += ["copied Uvw " + far + "b@y.net"] * 3
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    terms, places = pii.disclosing_terms(d)
+    assert {r.term for r in terms.collect()} == {"qi", "r2d2"}
+    assert {(r.doc, r.start, r.end) for r in places.collect()} == {(i, a, b) for i in (0, 1) for a, b in ((0, 2), (3, 7))}
+
+
+def test_chance():
+    assert abs(pii.chance(10, 4, 4, 4) - 1 / 210) < 1e-12 and abs(pii.chance(10, 4, 1, 1) - 0.4) < 1e-12
+    assert pii.chance(5, 5, 5, 5) == 1 and pii.chance(10**7, 1, 1, 1) < 1.01e-7
+
+
+def test_given_table_yields_terms(spark):
+    """Each identifier of sf0.01 stands in one text: what only that text has gives it away, counted by hand."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text or "" for r in d.select("text").collect()]
+    bags = []
+    for t in texts:
+        spans = brute(t)
+        bags.append((t if spans else None, {m[0].lower() for m in re.finditer(r"[^\W_]+", t) if not any(s < m.end() and m.start() < e for s, _, e in spans)}))
+    everywhere = {}
+    for _, bag in bags:
+        for x in bag:
+            everywhere[x] = everywhere.get(x, 0) + 1
+    copies = {t: texts.count(t) for t, _ in bags if t is not None}
+    want = {x for t, bag in bags if t is not None for x in bag if everywhere[x] == copies[t]}
+    assert want and {r.term for r in pii.disclosing_terms(d)[0].collect()} >= want
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert pii.report(d).collect() == [] and pii.sanitise(d).collect() == []
