@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 Every block element is a node. Its density is its characters per tag, lowered by the share of link text; the node whose children's
-densities add up to most is the article, and blocks below the least density on the way from it to the body, if they
-are mostly links, are left out. What markup names as menu, header, footer, sidebar, notice, advert, form or comment is no node.
+densities add up to most gives the threshold, the least density on the way from it to the body. Under every node that
+reaches it the subtree with the largest sum belongs to the article, and so does text that stands there by itself; blocks
+below it inside of these, if they are mostly links, are left out. What markup names as menu, header, footer, sidebar, notice, advert, form or comment is no node.
 """
 
 from __future__ import annotations
@@ -156,28 +157,28 @@ def main_text(page: str | None) -> str:
                 n.lc += k if x[1] else 0
     own = {id(n): _density(n, body) for n in nodes}
     sums = {id(n): sum(own[id(x)] if isinstance(x, _Node) else len("".join(x[0].split())) * (not x[1]) for x in n.children if not (isinstance(x, _Node) and x.aside)) for n in nodes}
-    roots = [n for n in nodes if n.tag in ROOTS and n.c] or [body]
-    inside = {id(x) for r in roots for x in _walk(r)}
-    best = max((n for n in nodes if id(n) in inside), key=lambda n: sums[id(n)], default=body)
-    up = best
-    while up is not None and up.tag not in ROOTS and roots != [body]:
-        up = up.parent
-    best = up or best
+    best = max(nodes, key=lambda n: sums[id(n)])
     least, up = own[id(best)], best
     while up is not None:
         least, up = min(least, own[id(up)]), up.parent
+    top: dict[int, _Node] = {}
+    for n in reversed(nodes):
+        top[id(n)] = max([n, *(top[id(x)] for x in n.children if isinstance(x, _Node) and not x.aside)], key=lambda x: sums[id(x)])
+    bare = {id(n) for n in nodes if own[id(n)] >= least and sum(len("".join(x[0].split())) for x in n.children if isinstance(x, tuple) and not x[1]) >= max(least, 1)}
+    articles = {id(top[id(n)]) for n in nodes if n.c and own[id(n)] >= least}
     parts: list[str] = []
-    todo: list = [best]
+    todo: list = [(body, False)]
     while todo:
-        x = todo.pop()
+        x, inside = todo.pop()
         if isinstance(x, str):
             parts.append(x)
         elif isinstance(x, tuple):
-            parts.append(x[0])
-        elif x is best or not x.aside and (own[id(x)] >= least or 2 * x.lc <= x.c):
+            parts.append(x[0] if inside else " ")
+        elif not x.aside:
+            inside = id(x) in articles or inside and (own[id(x)] >= least or 2 * x.lc <= x.c)
             parts.append(" ")
-            todo.append(" ")
-            todo += reversed(x.children)
+            todo.append((" ", False))
+            todo += [(y, inside or isinstance(y, tuple) and id(x) in bare) for y in reversed(x.children)]
     return " ".join("".join(parts).split())
 
 

@@ -17,6 +17,24 @@ def test_article_only():
     assert html.main_text(PAGE) == " ".join(["Head & line", *[s] * 3, "Fish <b> boldly x é", *[s] * 2])
 
 
+def test_all_that_reaches_the_threshold():
+    def block(tag, name, n):
+        return f"<{tag}>" + "".join(f"<p>{name}{i} {SENTENCE * 3}</p>" for i in range(n)) + f"</{tag}>"
+
+    menu = '<div class="menu"><p>Menu <a href="/">home</a></p></div><div><a href="/a">More</a> <a href="/b">links</a></div>'
+    for page in (
+        f"<div>{block('section', 'a', 10)}{block('section', 'b', 6)}</div>",
+        f"<main>{block('article', 'a', 10)}{block('article', 'b', 6)}</main>",
+        f"<main>{block('article', 'a', 10)}{block('section', 'b', 6)}</main>",
+        f"{block('article', 'a', 10)}<div>{block('section', 'b', 6)}</div>",
+        f"{block('section', 'a', 10)}{block('article', 'b', 6)}",
+    ):
+        got = html.main_text(f"<body>{menu}{page}{menu}</body>")
+        assert got == " ".join(f"{k}{i} {SENTENCE * 3}".strip() for k, n in (("a", 10), ("b", 6)) for i in range(n)), page
+    long = SENTENCE * 8
+    assert html.main_text(f"<div>{long}{block('section', 'a', 10)}</div>").startswith(long.strip() + " a0")
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "   "), (4, "u", "plain words"), (5, "u", "<p>open <p>next"), (6, "u", "</div></div><p>x</p>"), (7, "u", "<" * 2000), (8, "u", "<script>never closed"), (None, "u", "<p>a</p>"), (9, "u", "<p>a</p>"), (9, "u", "<p>a</p>")]
     d = spark.createDataFrame([(*r, "t", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")
