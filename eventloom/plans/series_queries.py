@@ -454,7 +454,9 @@ def ml_energy(spark, d):
 @query("ml_classify")
 def ml_classify(spark, d):
     t = _training(spark, d)
-    m = models.Models(["q", "x", "energy"], classify=True).fit("A", t.where("type = 'A'"), "label", models.classifier("logistic"))
+    m = models.Models(["q", "x", "energy"], classify=True)
+    for k in ("A", "N", "R"):
+        m.fit(k, t.where(F.col("type") == k), "label", models.classifier("logistic"))
     return m.predict(t, "type", "gammaness").select("l_orderkey", "l_linenumber", "gammaness", "gammaness_is_valid")
 
 
