@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from eventloom.functions import waveforms
 from eventloom.operators import chunks, images, lookup, models, response
 from eventloom.plans.catalogue import query
 from eventloom.plans.event_queries import r6, s6
-from eventloom.runtime import table
+from eventloom.runtime import checkpoint_dir, table
 
 CAMERA = images.Camera.rectangular(8, 8)
 
@@ -473,6 +475,5 @@ def stream_time_chunk(spark, d):
 
     schema = table(spark, d, "events").schema
     s = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    name = "stream_time_chunk"
-    streams.run_available(streams.window_statistics(s, ["user_id"], "ts", "value", "1 day"), name).stop()
-    return spark.table(name).select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_events", r6(F.col("mean")).alias("mean"))
+    out = streams.run_to_files(streams.window_statistics(s, ["user_id"], "ts", "value", "1 day"), f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}")
+    return out.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_events", r6(F.col("mean")).alias("mean"))

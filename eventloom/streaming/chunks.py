@@ -37,6 +37,18 @@ def run_available(df: DataFrame, name: str, mode: str = "complete") -> Streaming
     return q
 
 
+def run_to_files(df: DataFrame, folder: str) -> DataFrame:
+    """Process what is there, wait, and read the whole result from Parquet in the folder, which all executors share.
+
+    Each batch writes the result anew, so windows that the watermark has not closed are there too.
+    """
+    spark, path = df.sparkSession, f"{folder}/result"
+    spark.createDataFrame([], df.schema).write.parquet(path)  # a stream without rows has no batch
+    q = df.writeStream.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(path)).outputMode("complete")
+    q.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
