@@ -62,7 +62,7 @@ def rake(cells: pd.DataFrame, targets: dict[str, pd.Series], tolerance: float =
     return w
 
 
-def rake_joined(cells: DataFrame, powers: dict[str, float], rounds: int = 30) -> DataFrame:
+def rake_joined(cells: DataFrame, powers: dict[str, float], tolerance: float = 1e-9, rounds: int = 500) -> DataFrame:
     """The same steps on a cell table of any size: cells with a weight column added."""
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     w = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
@@ -75,6 +75,9 @@ def rake_joined(cells: DataFrame, powers: dict[str, float], rounds: int = 30) ->
             have = w.groupBy(F.col(k).alias("__k")).agg(F.sum("weight").alias("have")).join(g, "__k")
             w = w.join(have, F.col(k) == F.col("__k")).withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col("goal") / F.col("have")).otherwise(0.0)).drop("__k", "goal", "have")
         w = cut(w)
+        worst = [w.groupBy(F.col(k).alias("__k")).agg(F.sum("weight").alias("have")).join(g, "__k").agg(F.max(F.abs(F.col("have") - F.col("goal"))).alias("worst")) for k, g in goals.items()]
+        if max((x.first()[0] or 0.0 for x in worst), default=0.0) < tolerance:
+            break
     return w
 
 
@@ -124,13 +127,15 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, keep: float = 0
     else:
         w = rake_joined(cells, names)
         bounds = cut(w.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)))
-        scale = keep * float(bounds.agg(F.sum("tokens")).first()[0] or 0)
-        for _ in range(20):  # cells that reach 1 leave their share to the others
-            full = bounds.where(F.col("rate") * F.lit(scale) >= 1).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
-            goal = (keep * float(bounds.agg(F.sum("tokens")).first()[0]) - float(full[0])) / max(1 - float(full[1]), 1e-12)
-            if abs(goal - scale) <= 1e-9 * max(scale, 1):
+        total = bounds.where("rate > 0").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        budget = min(keep * float(bounds.agg(F.sum("tokens")).first()[0] or 0), float(total))
+        scale, before = 0.0, -1
+        while True:  # cells that reach 1 leave their share to the others, until none is left that does
+            capped = F.col("rate") * F.lit(scale) >= 1
+            n, full, free = bounds.agg(F.count_if(capped), F.coalesce(F.sum(F.when(capped, F.col("tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0.0))).first()
+            if n <= before or free <= 0 or budget <= full:
                 break
-            scale = goal
+            scale, before = (budget - float(full)) / float(free), n
         rates = bounds.select(*names, F.least(F.col("rate") * F.lit(scale), F.lit(1.0)).alias("probability"))
     out = d.withColumns({f"__{k}": F.coalesce(F.col(k).cast("string"), F.lit("\0null")) for k in powers}).join(rates, list(names), "left").drop(*names)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(doc)), F.lit(1 << 30)) / float(1 << 30)

@@ -37,6 +37,17 @@ def test_whole_table(spark, small):
     assert (d.groupby(["source", "lang", "topic"])["probability"].nunique() == 1).all()
 
 
+def test_joined_mixing_is_the_same(spark, monkeypatch):
+    rows = [(i, "w " * (40 + 97 * i % 300), "en" if i % 3 else "de", "abc"[i % 7 % 3], "uv"[i % 5 % 2]) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    for keep in (0.7, 1.0):
+        monkeypatch.setattr(mixing, "CELLS", 100_000)
+        want = mixing.mix(d, keep=keep).toPandas().set_index("doc_id").sort_index()
+        monkeypatch.setattr(mixing, "CELLS", 0)
+        got = mixing.mix(d, keep=keep).toPandas().set_index("doc_id").sort_index()
+        assert np.allclose(got["probability"], want["probability"], atol=1e-7)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en", "s"), (2, "", None, "s"), (3, "a b c", None, None), (3, "a b c", None, None), (None, "x y", "en", "s"), (4, "w " * 90_000, "de", "t")]
     d = spark.createDataFrame([(*r, 1.5, "k") for r in rows], "doc_id long, text string, lang string, source string, probability double, kept string")
