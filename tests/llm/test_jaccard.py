@@ -74,3 +74,30 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(200, 200), (None, 3), (300, 301), (301, 300)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(7, 40)}, 300: 300, 301: 300}
+
+
+@pytest.mark.parametrize("num", [60, 80])
+def test_levels_of_regions(spark, num, monkeypatch):
+    """Regions of more than three members are dealt again, down to the last level; very small sets among them."""
+    monkeypatch.setattr(jaccard, "REGION", 3)
+    monkeypatch.setattr(jaccard, "CENTRES", (1,))
+    monkeypatch.setattr(jaccard, "REST", 0)
+    import random
+
+    r = random.Random(num)
+    lines = [" ".join(f"l{i}w{j}" for j in range(3)) for i in range(5)]
+    rows = [(i, " ".join(r.choices(lines, k=r.choice([1, 2, 3, 4])) + [f"w{r.randrange(9)}"] * r.randrange(3))) for i in range(300)]
+    rows += [(300 + i, " ".join(r.choices("abc", k=r.choice([2, 3, 4])))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(jaccard.near_duplicates(d, k=2, num=num)) == brute(rows, 2, num)
+
+
+def test_template_texts(spark):
+    """Texts of 5 of 12 lines: crowded regions without many links end in a bounded number of jobs."""
+    import random
+
+    r = random.Random(5)
+    lines = [" ".join(f"l{i}w{j}" for j in range(6)) for i in range(12)]
+    rows = [(i, " ".join(r.sample(lines, 5))) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(jaccard.near_duplicates(d, k=5, num=80)) == brute(rows, 5, 80)
