@@ -1,6 +1,6 @@
 """Best-fit packing of tokenised documents into sequences, by length patterns fitted with non-negative least squares.
 
-Only a histogram of lengths (at most `limit` x SALTS numbers, whatever the corpus) reaches the driver. There the
+Only a histogram of lengths (at most `limit` numbers, and one for each LOT pieces of one length) reaches the driver. There the
 patterns of up to three documents are enumerated on a length grid, their repeat counts fitted to the histogram by
 NNLS and rounded down to what is there; what is left over, and the gaps of the patterns, are packed best-fit decreasing on
 counts. The plan is a list of runs "documents of this length, ranks r to r+k, go to sequences s to s+k at offset o",
@@ -9,63 +9,139 @@ which tasks look up by binary search. Its size depends on the number of lengths,
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.runtime import cut
 
-SALTS = 64
+#: Texts encoded at a time.
+ROWS = 2000
+#: Pieces of one length that a task ranks at a time.
+LOT = 1_000_000
 GRID = 256
-#: Entries that a worker remembers the ids of; the memo starts afresh beyond.
+#: Stretches that a worker remembers the ids of since it last looked for them; twice as many are held at most.
 MEMO = 400_000
-_memo: dict[str, dict[bytes, bytes]] = {}
-_tokenizers: dict = {}
+_encoders: dict[str, _Encoder] = {}
 
 
-def token_bytes(texts, path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers, 0 last.
+def splits_at_space(tokenizer: str) -> bool:
+    """Whether a tokenizer (its JSON) works on each stretch between ASCII white space by itself.
 
-    No token crosses ASCII white space, so stretches between white space are encoded once and remembered.
+    True where the first pre-tokenizer removes all but the matches of alternatives none of which can match white space, and no
+    added token holds or strips any. Normalizers other than the usual ones by character count as unsafe.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _tokenizers:
+    t = json.loads(tokenizer)
+    pre = t.get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [pre])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or not pattern:
+        return False
+    for part in pattern.split("|"):
+        negated = part.startswith("[^")
+        if re.search(r"\\[SWDPX]|\.|\s", part) or negated != ("\\s" in part) or part.count("[") > 1:
+            return False
+    normal = t.get("normalizer") or {}
+    for n in normal.get("normalizers") or [normal]:
+        space = n.get("type") == "Replace" and n.get("pattern") == {"Regex": "\\s+"} and n.get("content") == " "
+        if n and not space and n["type"] not in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase"):
+            return False
+    post = t.get("post_processor") is None
+    return post and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] for x in t["added_tokens"])
+
+
+class _Encoder:
+    """Ids of texts; stretches between white space are encoded once and remembered where the tokenizer allows."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    memo = _memo.setdefault(path, {})
-    out = []
-    for t in texts:
-        parts = (t or "").encode("utf-8").split()
-        new = list({p for p in parts if p not in memo})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for p, e in zip(some, _tokenizers[path].encode_batch([p.decode("utf-8", "replace") for p in some], add_special_tokens=False), strict=True):
-                memo[p] = np.asarray(e.ids, "<u4").tobytes()
-        out.append(b"".join(map(memo.__getitem__, parts)) + bytes(4))
-        if len(memo) > MEMO:
-            memo.clear()
-    return out
+        with open(path, encoding="utf-8") as f:
+            spec = f.read()
+        self.tokenizer, self.split = Tokenizer.from_str(spec), splits_at_space(spec)
+        self.young: dict[str, np.ndarray] = {}
+        self.old: dict[str, np.ndarray] = {}
+
+    def _encode(self, some: list[str]) -> list[np.ndarray]:
+        out = []
+        for i in range(0, len(some), 10_000):
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some[i : i + 10_000], add_special_tokens=False)]
+        return out
+
+    def _remembered(self, parts: list[str]) -> list[np.ndarray]:
+        young, old = self.young, self.old
+        out = [young.get(p) for p in parts]
+        new = []
+        for i, x in enumerate(out):
+            if x is None:
+                x = out[i] = old.get(parts[i])
+                if x is None:
+                    new.append(i)
+                else:
+                    young[parts[i]] = x
+        for i, ids in zip(new, self._encode([parts[i] for i in new]), strict=True):
+            out[i] = young[parts[i]] = ids
+        if len(young) > MEMO:
+            self.young, self.old = {}, young
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after the other, where each text starts and the last ends)."""
+        texts = pc.fill_null(texts, "")
+        if not self.split:
+            ids = self._encode(texts.to_pylist())
+            ends = np.cumsum([0, *map(len, ids)])
+            return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), ends
+        parts = pc.ascii_split_whitespace(texts)
+        words = parts.values.dictionary_encode()
+        known = self._remembered(words.dictionary.to_pylist())
+        n = np.array([len(x) for x in known], np.int64)
+        flat, first = (np.concatenate(known) if known else np.zeros(0, np.uint32)), np.cumsum(n) - n
+        at = words.indices.to_numpy()
+        length = n[at] if len(at) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = flat[np.repeat(first[at] - ends[:-1], length) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, np.uint32)
+        offsets = parts.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
 
 
 def tokenize(docs: DataFrame, path: str, limit: int, doc: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of at most `limit` tokens: doc_id, piece, start, length, ids_crc32, and ids where asked for."""
 
     def pieces(batches):
-        for b in filter(len, batches):
-            rows = []
-            for d, ids in zip(b["d"], token_bytes(b["t"], path), strict=True):
-                for k, at in enumerate(range(0, len(ids), 4 * limit)):
-                    x = ids[at : at + 4 * limit]
-                    rows.append((d, k, at // 4, len(x) // 4, zlib.crc32(x)) + ((np.frombuffer(x, "<u4").astype(np.int64),) if keep_ids else ()))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if path not in _encoders:
+            _encoders[path] = _Encoder(path)
+        encode = _encoders[path]
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                ids, ends = encode(b.column(1))
+                ids = ids.astype("<u4")
+                n = np.diff(ends) + 1
+                count = -(-n // limit)
+                row = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * limit
+                length = np.minimum(n[row] - start, limit)
+                crc, kept = np.zeros(len(row), np.int64), []
+                for k, (lo, hi, last) in enumerate(zip((ends[row] + start).tolist(), np.minimum(ends[row] + start + limit, ends[row + 1]).tolist(), (start + length == n[row]).tolist(), strict=True)):
+                    crc[k] = zlib.crc32(bytes(4), zlib.crc32(ids[lo:hi])) if last else zlib.crc32(ids[lo:hi])
+                    if keep_ids:
+                        kept.append(np.append(ids[lo:hi], 0) if last else ids[lo:hi])
+                columns = [b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
+                if keep_ids:
+                    columns.append(pa.array([x.astype(np.int64) for x in kept], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+
+    return docs.select(F.col(doc).cast("long").alias("d"), F.col(text).cast("string").alias("t")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
@@ -180,39 +256,53 @@ def plan(hist: np.ndarray, limit: int) -> tuple[np.ndarray, int]:
 def pack(pieces: DataFrame, limit: int) -> DataFrame:
     """pieces with sequence_id and offset added; no sequence holds more than `limit` tokens, each is filled from 0 without gaps.
 
-    pieces needs doc_id, piece, start, length and ids_crc32; it is read twice, so hand over a checkpointed table.
-    Equal rows get places of their own. No pieces give no sequences.
+    pieces needs doc_id, piece, start, length and ids_crc32; it is read several times, so hand over a checkpointed table.
+    Equal rows get places of their own. No pieces give no sequences. Pieces of the whole `limit` are sequences by themselves;
+    shorter ones are ranked by length in lots of about LOT rows, however many have the same length.
     """
-    key = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int").alias("salt")
-    p = pieces.withColumn("salt", key)
-    n = p.groupBy("length", "salt").count().toPandas()
-    counts = np.zeros((limit + 1, SALTS), np.int64)
-    counts[n["length"].astype(int), n["salt"].astype(int)] = n["count"]
-    runs, _ = plan(counts.sum(axis=1), limit)
+    spark = pieces.sparkSession
+    short = pieces.where(F.col("length") < limit)
+    counts = np.zeros(limit + 1, np.int64)
+    for r in short.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    runs, used = plan(counts, limit)
+    full = pieces.where(F.col("length") == limit).withColumns({"sequence_id": F.monotonically_increasing_id() + used, "offset": F.lit(0).cast("long")})
+    lots = -(-counts // LOT)
+    many = spark.createDataFrame([(int(i), int(lots[i])) for i in np.flatnonzero(lots)], "length long, lots int")
+    p = short.join(F.broadcast(many), "length").withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("lots")).cast("int"))
+    # How many pieces of a length stand in earlier lots; lot j of length i at base[i] + j.
+    base = np.cumsum(lots) - lots
+    first = np.zeros(int(lots.sum()), np.int64)
+    for r in p.where("lots > 1").groupBy("length", "lot").count().collect():
+        first[base[r["length"]] + r["lot"]] = r["count"]
+    for i in np.flatnonzero(lots > 1):
+        n = first[base[i] : base[i] + lots[i]]
+        n[:] = np.cumsum(n) - n
+    p = p.select(*pieces.columns, "lot")
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    first = np.cumsum(counts, axis=1) - counts
-    sent = pieces.sparkSession.sparkContext.broadcast((runs, (runs[:, 0] << 48) + runs[:, 1], first))
+    sent = spark.sparkContext.broadcast((runs, (runs[:, 0] << 48) + runs[:, 1], base, first))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def place(batches):
-        runs, at, first = sent.value
-        for b in filter(len, batches):
-            length = b["length"].to_numpy(np.int64)
-            rank = first[length, b["salt"].to_numpy(np.int64)] + b["r"].to_numpy(np.int64) - 1
+        runs, at, base, first = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            length = b.column("length").to_numpy()
+            rank = first[base[length] + b.column("lot").to_numpy()] + b.column("r").to_numpy() - 1
             k = np.searchsorted(at, (length << 48) + rank, side="right") - 1
-            b["sequence_id"] = runs[k, 3] + rank - runs[k, 1] if len(b) else np.zeros(0, np.int64)
-            b["offset"] = runs[k, 4] if len(b) else np.zeros(0, np.int64)
-            yield b.drop(columns=["salt", "r"])
+            kept = b.drop_columns(["lot", "r"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(runs[k, 3] + rank - runs[k, 1]), pa.array(runs[k, 4])], names=[*kept.schema.names, "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    return p.withColumn("r", F.row_number().over(order)).mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    order = Window.partitionBy("length", "lot").orderBy("doc_id", "piece", "start", "ids_crc32")
+    placed = p.withColumn("r", F.row_number().over(order)).mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return full.unionByName(placed)
 
 
 def pack_documents(docs: DataFrame, path: str, limit: int = 2048, doc: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32 (, ids), sequence_id, offset.
 
     A null text counts as empty and is one piece of one token (id 0). Only documents of more than `limit` tokens are
-    cut. Repeated rows are packed each. Other columns of docs are ignored.
+    cut. Repeated rows are packed each, in any order among themselves. Other columns of docs are ignored.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return pack(cut(tokenize(docs, path, limit, doc, text, keep_ids)), limit)

@@ -79,3 +79,39 @@ def test_nnls():
     r = np.random.default_rng(5)
     a, x = np.abs(r.normal(size=(20, 8))), np.maximum(r.normal(size=8), 0)
     assert np.allclose(packing.nnls(a, a @ x), x, atol=1e-5)
+
+
+def test_lots_of_one_length(spark, monkeypatch):
+    """Most documents have the same length: they are ranked in several lots and get places of their own."""
+    monkeypatch.setattr(packing, "LOT", 7)
+    docs = [(i, "word " * r) for i, r in enumerate([5] * 90 + [63] * 20 + [64] * 3 + [200, 3, 9])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    hold(packing.pack_documents(d, vocabulary("word_bpe_49k.json"), limit=64).collect(), docs, 64)
+
+
+def test_tokenizers_that_cross_white_space(spark):
+    """One whose tokens hold spaces is given whole texts."""
+    from tokenizers import Tokenizer
+
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        assert packing.splits_at_space(f.read())
+    path = vocabulary("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        assert not packing.splits_at_space(f.read())
+    docs = [(1, "a  b\n c"), (2, None), (3, " the cat  sat "), (4, "x" * 300)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = packing.tokenize(d, path, 16, keep_ids=True).orderBy("doc_id", "piece").collect()
+    t = Tokenizer.from_file(path)
+    for i, x in docs:
+        assert [k for r in rows if r.doc_id == i for k in r.ids] == t.encode(x or "", add_special_tokens=False).ids + [0]
+
+
+def test_memo_starts_afresh(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 3)
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(i * j) % 17} Tail{i}" for j in range(6)) for i in range(40)]
+    e = packing._Encoder(vocabulary("word_bpe_49k.json"))
+    got = [e(pa.array(texts[i : i + 4])) for i in range(0, 40, 4)]
+    ids = [x.tolist()[a:b] for x, ends in got for a, b in zip(ends, ends[1:], strict=False)]
+    assert ids == [x[:-1] for x in plain_ids(texts)]
