@@ -57,8 +57,17 @@ def splits_at_space(tokenizer: str) -> bool:
     return post and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] for x in t["added_tokens"])
 
 
+#: The pre-tokenizer's pattern under which a run of letters and a run of ASCII marks after it are tokenised each by itself. Fixed value of the format.
+LETTERS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS = re.compile(r"""([^\W\d_]+)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)""")
+
+
 class _Encoder:
-    """Ids of texts; stretches between white space are encoded once and remembered where the tokenizer allows."""
+    """Ids of texts as bytes; stretches between white space are encoded once and remembered where the tokenizer allows.
+
+    Where it also works on letters and the marks after them by themselves, those are what is encoded and remembered: runs of letters many
+    at a time, as every run ends with a token that only stands at the end of one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,48 +75,84 @@ class _Encoder:
         with open(path, encoding="utf-8") as f:
             spec = f.read()
         self.tokenizer, self.split = Tokenizer.from_str(spec), splits_at_space(spec)
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _encode(self, some: list[str]) -> list[np.ndarray]:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        t = json.loads(spec)
+        end = t["model"].get("end_of_word_suffix")
+        first = ((t.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.runs = self.split and bool(end) and (first.get("pattern") or {}).get("Regex") == LETTERS_AND_MARKS
+        self.lower = self.runs and any(n["type"] == "Lowercase" for n in (t["normalizer"] or {}).get("normalizers") or [])
+        vocabulary = self.tokenizer.get_vocab() if self.runs else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith(end)]] = True
+
+    def _encode(self, some: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(some), 10_000):
-            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some[i : i + 10_000], add_special_tokens=False)]
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some[i : i + 10_000], add_special_tokens=False)]
         return out
 
-    def _remembered(self, parts: list[str]) -> list[np.ndarray]:
-        young, old = self.young, self.old
-        out = [young.get(p) for p in parts]
-        new = []
-        for i, x in enumerate(out):
-            if x is None:
-                x = out[i] = old.get(parts[i])
-                if x is None:
-                    new.append(i)
-                else:
-                    young[parts[i]] = x
-        for i, ids in zip(new, self._encode([parts[i] for i in new]), strict=True):
-            out[i] = young[parts[i]] = ids
-        if len(young) > MEMO:
-            self.young, self.old = {}, young
+    def _encode_letters(self, some: list[str]) -> list[bytes]:
+        """The same for runs of letters."""
+        out = []
+        lots = [some[i : i + 200] for i in range(0, len(some), 200)]
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(at) == len(lot) + 1 and at[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                out += [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+            else:  # letters that the normalizer turns into something else
+                out += self._encode(lot)
         return out
 
+    def _unknown(self, parts: set[str]) -> list[str]:
+        """Those that are not remembered; others count as used."""
+        for p in parts - self.young.keys():
+            x = self.old.get(p)
+            if x is not None:
+                self.young[p] = x
+        return list(parts - self.young.keys())
+
+    def _remembered(self, parts: list[str]) -> list[bytes]:
+        if len(self.young) > MEMO:
+            self.young, self.old = {}, self.young
+        runs, others = {}, set()
+        for p in self._unknown(set(parts)):
+            m = _LETTERS.fullmatch(p) if self.runs else None
+            run = m[1] if m else ""
+            if not run or not run.lower().isalpha():
+                others.add(p)
+                continue
+            if self.lower and run.isascii():
+                run = run.lower()
+            runs[p] = run, m[2]
+            if m[2]:
+                others.add(m[2])
+        young = self.young
+        new = self._unknown({run for run, _ in runs.values()})
+        young.update(zip(new, self._encode_letters(new), strict=True))
+        new = self._unknown(others)
+        young.update(zip(new, self._encode(new), strict=True))
+        for p, (run, marks) in runs.items():
+            young[p] = young[run] + young[marks] if marks else young[run]
+        return [young[p] for p in parts]
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, where each text starts and the last ends)."""
         texts = pc.fill_null(texts, "")
         if not self.split:
             ids = self._encode(texts.to_pylist())
-            ends = np.cumsum([0, *map(len, ids)])
-            return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), ends
+            return np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0, *map(len, ids)]) // 4
         parts = pc.ascii_split_whitespace(texts)
         words = parts.values.dictionary_encode()
         known = self._remembered(words.dictionary.to_pylist())
-        n = np.array([len(x) for x in known], np.int64)
-        flat, first = (np.concatenate(known) if known else np.zeros(0, np.uint32)), np.cumsum(n) - n
+        n = np.array([len(x) // 4 for x in known], np.int64)
+        flat, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(n) - n
         at = words.indices.to_numpy()
         length = n[at] if len(at) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(length)])
-        ids = flat[np.repeat(first[at] - ends[:-1], length) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, np.uint32)
+        ids = flat[np.repeat(first[at] - ends[:-1], length) + np.arange(ends[-1])] if ends[-1] else flat[:0]
         offsets = parts.offsets.to_numpy()
         return ids, ends[offsets - offsets[0]]
 
@@ -124,7 +169,6 @@ def tokenize(docs: DataFrame, path: str, limit: int, doc: str = "doc_id", text:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
                 ids, ends = encode(b.column(1))
-                ids = ids.astype("<u4")
                 n = np.diff(ends) + 1
                 count = -(-n // limit)
                 row = np.repeat(np.arange(len(n)), count)
