@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,14 +46,41 @@ _COMPARE = {
 }
 
 
-def compile_expression(text: str, columns: Iterable[str], functions: dict[str, Callable[..., Column]] | None = None) -> Column:
-    """The Column of `text` over `columns`; np.f and f are the same function. Division by zero gives null."""
-    known, functions = set(columns), {**FUNCTIONS, **(functions or {})}
+#: Types of columns that hold no NaN.
+_NO_NAN = {"tinyint", "smallint", "int", "bigint", "string", "boolean", "date", "timestamp", "timestamp_ntz"}
+
+
+def compile_expression(text: str, columns: Iterable[str] | Mapping[str, str], functions: dict[str, Callable[..., Column]] | None = None) -> Column:
+    """The Column of `text` over `columns` (names, or names with their types); np.f and f are the same function.
+
+    Division by zero gives null. NaN compares as in Python: every comparison with it is false but `!=`, which is true.
+    """
+    known, functions = dict(columns) if isinstance(columns, Mapping) else dict.fromkeys(columns), {**FUNCTIONS, **(functions or {})}
     try:
         tree = ast.parse(text, mode="eval").body
     except SyntaxError as e:
         raise ExpressionError(f"{text!r} is not an expression: {e.msg}") from e
 
+    def number(n: ast.AST) -> bool:
+        """Whether n may be NaN."""
+        match n:
+            case ast.Constant():
+                return False
+            case ast.Name() if n.id in known:
+                return known[n.id] not in _NO_NAN
+            case ast.Compare() | ast.BoolOp() | ast.UnaryOp(op=ast.Not() | ast.Invert()):
+                return False
+        return True
+
+    def compare(op: ast.cmpop, a: ast.AST, b: ast.AST) -> Column:
+        x, y = visit(a), visit(b)
+        text = any(isinstance(n, ast.Constant) and isinstance(n.value, str) for n in (a, b))
+        nan = [F.isnan(c.try_cast("double")) for n, c in ((a, x), (b, y)) if not text and number(n)]
+        out = _COMPARE[type(op)](x, y)
+        for c in nan:
+            out = out | c if isinstance(op, ast.NotEq) else out & ~c
+        return out
+
     def visit(n: ast.AST) -> Column:
         match n:
             case ast.Constant(value=bool() | int() | float() | str()):
@@ -79,10 +106,10 @@ def compile_expression(text: str, columns: Iterable[str], functions: dict[str, C
                     out = out & p if isinstance(n.op, ast.And) else out | p
                 return out
             case ast.Compare() if all(type(o) in _COMPARE for o in n.ops):
-                sides = [visit(n.left), *map(visit, n.comparators)]
+                sides = [n.left, *n.comparators]
                 out = None
                 for o, a, b in zip(n.ops, sides, sides[1:], strict=False):
-                    c = _COMPARE[type(o)](a, b)
+                    c = compare(o, a, b)
                     out = c if out is None else out & c
                 return out
             case ast.IfExp():

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.common import indices, let, nested, numbers, ratio, total
+from eventloom.functions.common import finite, indices, let, nested, numbers, ratio, total
 
 
 @dataclass(frozen=True)
@@ -204,7 +204,10 @@ def brightest_island(labels: Column, image: Column) -> Column:
 
 
 def hillas(image: Column, camera: Camera) -> Column:
-    """struct(intensity, x, y, r, phi, length, width, psi, skewness, kurtosis): weighted moments of an image; null for no charge."""
+    """struct(intensity, x, y, r, phi, length, width, psi, skewness, kurtosis): weighted moments of an image; null for no charge.
+
+    An image without extent (length 0) has NaN for psi, skewness and kurtosis.
+    """
     x, y = numbers(camera.x), numbers(camera.y)
 
     def weighted(coordinate_a: Column, coordinate_b: Column | None = None) -> Column:
@@ -226,32 +229,38 @@ def hillas(image: Column, camera: Camera) -> Column:
         half, diff = (m["xx"] + m["yy"]) / 2, (m["xx"] - m["yy"]) / 2
         root = F.sqrt(diff * diff + m["xy"] * m["xy"])
         zero = F.lit(0.0)
-        psi = F.when((m["xy"] == 0) & (diff >= 0), 0.0).when(m["xy"] == 0, math.pi / 2).otherwise(F.atan(F.try_divide(root - diff, m["xy"])))
+        nan = F.lit(math.nan)
+        psi = F.when(F.greatest(half + root, zero) == 0, nan).when((m["xy"] == 0) & (diff >= 0), 0.0).when(m["xy"] == 0, math.pi / 2).otherwise(F.atan(F.try_divide(root - diff, m["xy"])))
         return F.struct(
             m["s"].alias("s"), m["x"].alias("x"), m["y"].alias("y"), psi.alias("psi"),
             F.sqrt(F.greatest(half + root, zero)).alias("length"), F.sqrt(F.greatest(half - root, zero)).alias("width"),
         )
 
     def shape(m: Column) -> Column:
+        nan = F.lit(math.nan)
         along = F.zip_with(x, y, lambda a, b: (a - m["x"]) * F.cos(m["psi"]) + (b - m["y"]) * F.sin(m["psi"]))
         moment = lambda k: total(F.zip_with(image, along, lambda q, v: q.cast("double") * F.pow(v, F.lit(float(k))))) / m["s"]
         return F.struct(
             m["s"].alias("intensity"), m["x"].alias("x"), m["y"].alias("y"),
             F.sqrt(m["x"] * m["x"] + m["y"] * m["y"]).alias("r"), F.atan2(m["y"], m["x"]).alias("phi"),
             m["length"].alias("length"), m["width"].alias("width"), m["psi"].alias("psi"),
-            F.try_divide(moment(3), F.pow(m["length"], F.lit(3.0))).alias("skewness"),
-            F.try_divide(moment(4), F.pow(m["length"], F.lit(4.0))).alias("kurtosis"),
+            F.coalesce(F.try_divide(moment(3), F.pow(m["length"], F.lit(3.0))), nan).alias("skewness"),
+            F.coalesce(F.try_divide(moment(4), F.pow(m["length"], F.lit(4.0))), nan).alias("kurtosis"),
         )
 
     return let(F.when(total(image) != 0, total(image)), lambda s: F.when(s.isNotNull(), let(centre(s), lambda c: let(spread(c), lambda m: let(axes(m), shape)))))
 
 
 def leakage(image: Column, mask: Column, camera: Camera) -> Column:
-    """struct(pixels_width_1, pixels_width_2, intensity_width_1, intensity_width_2) of the outer rings."""
+    """struct(pixels_width_1, pixels_width_2, intensity_width_1, intensity_width_2) of the outer rings, as shares of the cleaned image.
+
+    Null where no pixel, or no charge, survived cleaning.
+    """
     out = []
+    kept = F.size(F.filter(mask, lambda v: v))
     for k in (1, 2):
         edge = F.array(*[F.lit(b) for b in camera.border(k)])
-        out.append((F.size(F.filter(F.zip_with(mask, edge, lambda m, e: m & e), lambda v: v)) / camera.n).alias(f"pixels_width_{k}"))
+        out.append(ratio(F.size(F.filter(F.zip_with(mask, edge, lambda m, e: m & e), lambda v: v)), kept).alias(f"pixels_width_{k}"))
         out.append(ratio(total(masked(image, F.zip_with(mask, edge, lambda m, e: m & e))), total(masked(image, mask))).alias(f"intensity_width_{k}"))
     return F.struct(out[0], out[2], out[1], out[3])
 
@@ -262,7 +271,7 @@ def concentration(image: Column, h: Column, camera: Camera) -> Column:
     reach = math.sqrt(camera.area)
     place = F.arrays_zip(image.alias("q"), x.alias("x"), y.alias("y"))
     share = lambda inside: total(F.transform(place, lambda p: F.when(inside(p), p["q"].cast("double")).otherwise(0.0))) / h["intensity"]
-    near = lambda p: (p["x"] - h["x"]) ** 2 + (p["y"] - h["y"]) ** 2 <= reach * reach
+    near = lambda p: (p["x"] - h["x"]) ** 2 + (p["y"] - h["y"]) ** 2 < reach * reach
 
     def ellipse(p: Column) -> Column:
         lon = (p["x"] - h["x"]) * F.cos(h["psi"]) + (p["y"] - h["y"]) * F.sin(h["psi"])
@@ -282,22 +291,41 @@ def neighbor_average(image: Column, broken: Column, camera: Camera) -> Column:
     return F.zip_with(F.zip_with(image, broken, lambda v, b: F.struct(v.cast("double").alias("v"), b.alias("b"))), camera.neighbor_lists, lambda p, v: F.when(p["b"], mean(v)).otherwise(p["v"]))
 
 
-def timing(image: Column, times: Column, mask: Column, h: Column, camera: Camera) -> Column:
-    """struct(slope, intercept, deviation): least squares of the time over the longitudinal place, over pixels of the mask."""
+def timing(image: Column, times: Column, mask: Column, h: Column, camera: Camera, share: float = 0.85, steps: int = 6) -> Column:
+    """struct(slope, intercept, deviation): trimmed least squares of the time over the longitudinal place, over pixels of the mask.
+
+    From the plain fit, the `share` of pixels with the smallest residuals is fitted again, `steps` times; the deviation is that of all
+    pixels. NaN for fewer than two pixels with finite times, or where all are at one place.
+    """
     x, y = numbers(camera.x), numbers(camera.y)
+    nan = F.lit(math.nan)
     along = F.zip_with(x, y, lambda a, b: (a - h["x"]) * F.cos(h["psi"]) + (b - h["y"]) * F.sin(h["psi"]))
-    pts = F.filter(F.arrays_zip(along.alias("a"), times.alias("t"), mask.alias("m")), lambda p: p["m"])
+    pts = F.transform(F.filter(F.arrays_zip(along.alias("a"), times.alias("t"), mask.alias("m")), lambda p: p["m"]), lambda p: F.struct(p["a"].alias("a"), p["t"].cast("double").alias("t")))
+    pts = F.filter(pts, lambda p: finite(p["a"]) & finite(p["t"]))
     s = lambda p, f: F.aggregate(p, F.lit(0.0), lambda acc, v: acc + f(v))
 
-    def fit(p: Column) -> Column:
-        n = F.size(p).cast("double")
-        sa, st, saa, sat = s(p, lambda v: v["a"]), s(p, lambda v: v["t"].cast("double")), s(p, lambda v: v["a"] * v["a"]), s(p, lambda v: v["a"] * v["t"])
-        det = n * saa - sa * sa
-        slope = F.try_divide(n * sat - sa * st, F.when(F.abs(det) > 1e-12, det))
-        return F.struct(slope.alias("slope"), F.try_divide(st - slope * sa, n).alias("intercept"), p.alias("p"))
+    def fit(used: Column, p: Column) -> Column:
+        def line(m: Column) -> Column:
+            saa, sat = s(used, lambda v: (v["a"] - m["a"]) ** 2), s(used, lambda v: (v["a"] - m["a"]) * (v["t"] - m["t"]))
+            slope = F.try_divide(sat, F.when(saa > 1e-12, saa))
+            return F.struct(slope.alias("slope"), (m["t"] - slope * m["a"]).alias("intercept"), p.alias("p"))
+
+        n = F.size(used)
+        return let(F.struct(ratio(s(used, lambda v: v["a"]), n).alias("a"), ratio(s(used, lambda v: v["t"]), n).alias("t")), line)
+
+    def again(f: Column) -> Column:
+        residual = F.transform(f["p"], lambda v: F.struct(F.abs(v["t"] - f["slope"] * v["a"] - f["intercept"]).alias("r"), v["a"].alias("a"), v["t"].alias("t")))
+        best = F.slice(F.array_sort(residual), 1, F.greatest(F.floor(F.size(f["p"]) * share), F.lit(2)).cast("int"))
+        return F.when(f["slope"].isNotNull(), let(best, lambda b: fit(b, f["p"])))
+
+    def chain(f: Column, left: int) -> Column:
+        return let(again(f), lambda g: chain(g, left - 1)) if left else result(f)
+
+    def result(f: Column) -> Column:
+        rms = F.sqrt(ratio(s(f["p"], lambda v: (v["t"] - f["slope"] * v["a"] - f["intercept"]) ** 2), F.size(f["p"])))
+        return F.struct(F.coalesce(f["slope"], nan).alias("slope"), F.coalesce(f["intercept"], nan).alias("intercept"), F.coalesce(rms, nan).alias("deviation"))
 
-    rms = lambda f: F.sqrt(ratio(s(f["p"], lambda v: F.pow(v["t"] - f["slope"] * v["a"] - f["intercept"], F.lit(2.0))), F.size(f["p"])))
-    return let(let(pts, fit), lambda f: F.struct(f["slope"].alias("slope"), f["intercept"].alias("intercept"), rms(f).alias("deviation")))
+    return let(let(pts, lambda p: fit(p, p)), lambda f: chain(f, steps))
 
 
 def circle_fit(weights: Column, camera: Camera) -> Column:

@@ -37,22 +37,31 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, right_t
 
 
 def interval_lookup(left: DataFrame, chunks: DataFrame, by: list[str], time: str, value: str, tolerance: float = 0.0) -> DataFrame:
-    """Each left row with the value of the latest chunk that started by its time and contains it; array elements that are
+    """left with `value`: that of the latest chunk that started by the row's time and contains it; array elements that are
     NaN there come from the latest earlier containing chunk that has a number. Null without any.
 
-    chunks has time_start and time_end in seconds as numbers; left rows need an `id` that tells them apart.
+    chunks has time_start and time_end in seconds as numbers. Both sides meet by key and time bucket, about as wide as chunks are
+    on average, so neither a long history of one key nor many rows of it meet in one place. Every row of left is kept once, equal rows and
+    nulls in any column included; a null key or time has no value.
     """
-    c = chunks.select(*by, "time_start", "time_end", F.col(value).alias("__v"))
-    first = Window.partitionBy(*by)
-    c = c.withColumn("__first", F.col("time_start") == F.min("time_start").over(first))
-    t = F.col(time)
-    cond = (t >= F.col("time_start") - tolerance) & (t <= F.col("time_end") + tolerance) & ((F.col("time_start") <= t) | F.col("__first"))
-    hit = left.join(c, by, "left").where(F.col("time_start").isNull() | cond)
-    found = hit.where("time_start is not null").select(*left.columns, "time_start", F.posexplode("__v").alias("__p", "__x"))
-    x = F.when(~F.isnan("__x"), F.col("__x").cast("double"))
-    best = found.groupBy(*left.columns, "__p").agg(F.max_by(x, F.when(x.isNotNull(), F.col("time_start"))).alias("__x"))
-    packed = best.groupBy(*left.columns).agg(F.transform(F.sort_array(F.collect_list(F.struct("__p", "__x"))), lambda s: F.coalesce(s["__x"], F.lit(float("nan")))).alias(value))
-    return left.join(packed, left.columns, "left")
+    c = chunks.where(F.col("time_start").isNotNull() & F.col("time_end").isNotNull()).select(*by, F.col("time_start").cast("double").alias("__s"), F.col("time_end").cast("double").alias("__e"), F.col(value).alias("__v"))
+    first = c.groupBy(*by).agg(F.min("__s").alias("__first"))
+    c = c.join(first, by).withColumn("__from", F.when(F.col("__s") == F.col("__first"), F.col("__s") - tolerance).otherwise(F.col("__s")))
+    mean, low, high = c.agg(F.avg(F.col("__e") - F.col("__s")), F.min("__from"), F.max("__e")).first()
+    width = max((mean or 0.0) + tolerance, ((high or 0.0) - (low or 0.0)) / 1e6, 1e-6)
+    bucket = lambda t: F.floor(t / F.lit(width)).cast("long")
+    c = c.select(*by, "__s", "__e", "__from", "__v", F.explode(F.sequence(bucket(F.col("__from")), bucket(F.col("__e") + tolerance))).alias("__b"))
+    l = left.select(*by, F.col(time).cast("double").alias("__t"), F.struct("*").alias("__l"), F.monotonically_increasing_id().alias("__i"))
+    l = l.withColumn("__b", bucket(F.col("__t")))
+    inside = (F.col("l.__t") >= F.col("c.__from")) & (F.col("l.__t") <= F.col("c.__e") + tolerance)
+    same = [F.col(f"l.{k}") == F.col(f"c.{k}") for k in [*by, "__b"]]
+    hit = l.alias("l").join(c.alias("c"), [*same, inside], "left").select("l.__i", "l.__l", F.when(F.col("c.__s").isNotNull(), F.struct("c.__s", "c.__v")).alias("__h"))
+    # A time lies in few chunks at once: the list of a row is short.
+    hit = hit.groupBy("__i").agg(F.first("__l").alias("__l"), F.reverse(F.array_sort(F.collect_list("__h"))).alias("__h"))
+    numbers = F.transform("__h", lambda x: F.transform(x["__v"], lambda v: F.when(~F.isnan(v.cast("double")), v.cast("double"))))
+    some = F.aggregate(F.slice(numbers, 2, F.size("__h")), numbers[0], lambda best, v: F.zip_with(best, v, lambda x, y: F.coalesce(x, y)))
+    filled = F.transform(some, lambda v: F.coalesce(v, F.lit(math.nan)))
+    return hit.select("__l.*", F.when(F.size("__h") > 0, filled).alias(value))
 
 
 def linear(left: DataFrame, points: DataFrame, by: list[str], time: str, point_time: str, value: str, order: list[str], extrapolate: bool = False) -> DataFrame:

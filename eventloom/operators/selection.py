@@ -20,7 +20,10 @@ class QualityQuery:
     functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
 
     def columns(self, df: DataFrame) -> list[Column]:
-        return [F.coalesce(compile_expression(e, df.columns, self.functions), F.lit(False)) for _, e in self.criteria]
+        return [F.coalesce(c, F.lit(False)) for c in self._plain(df)]
+
+    def _plain(self, df: DataFrame) -> list[Column]:
+        return [compile_expression(e, dict(df.dtypes), self.functions) for _, e in self.criteria]
 
     def mask(self, df: DataFrame) -> Column:
         return reduce(lambda a, b: a & b, self.columns(df), F.lit(True))
@@ -30,7 +33,8 @@ class QualityQuery:
         return F.array(*self.columns(df))
 
     def select(self, df: DataFrame) -> DataFrame:
-        return df.where(self.mask(df))
+        """Rows that pass; criteria on plain columns reach the scan."""
+        return reduce(DataFrame.where, self._plain(df), df)
 
     def funnel(self, df: DataFrame) -> DataFrame:
         """criteria, counts, cumulative_counts: TOTAL first, in one pass over df."""
@@ -53,7 +57,7 @@ def generate_features(df: DataFrame, features: list[tuple[str, str]], functions:
     for name, expression in features:
         if name in df.columns:
             raise ExpressionError(f"column {name} is there already")
-        df = df.withColumn(name, compile_expression(expression, df.columns, functions))
+        df = df.withColumn(name, compile_expression(expression, dict(df.dtypes), functions))
     return df
 
 

@@ -23,26 +23,31 @@ def weight_of(kind: str, intensity: str | None = None, length: str | None = None
 def mean_and_std(value: Column, weight: Column, valid: Column) -> tuple[Column, Column]:
     """Aggregates: weighted mean and population standard deviation over valid rows, NaN without weight.
 
-    One pass: the variance is the mean square less the squared mean, and 0 where that is rounding noise.
+    One pass, without a difference of large squares: the spread is taken about the plain mean by the built-in covariances,
+    which update running means, and moved to the weighted mean.
     """
-    x, w = F.when(valid, value.cast("double")), F.when(valid, weight)
-    n = F.sum(w)
-    m = F.try_divide(F.sum(w * x), n)
-    square = F.try_divide(F.sum(w * x * x), n)
-    v = F.when(square - m * m > 1e-14 * square, square - m * m).when(square.isNotNull(), 0.0)
+    ok = valid & value.isNotNull() & weight.isNotNull()
+    x, w = F.when(ok, value.cast("double")), F.when(ok, weight.cast("double"))
+    each, shift = F.avg(w), F.try_divide(F.covar_pop(w, x), F.avg(w))
+    v = F.try_divide(F.covar_pop(w * x, x) - F.avg(x) * F.covar_pop(w, x), each) - shift * shift
     nan = F.lit(float("nan"))
-    return F.coalesce(m, nan), F.coalesce(F.sqrt(v), nan)
+    return F.coalesce(F.try_divide(F.sum(w * x), F.sum(w)), nan), F.coalesce(F.sqrt(F.when(v.isNotNull(), F.greatest(v, F.lit(0.0)))), nan)
 
 
 def combine_mean(tel: DataFrame, event: list[str], value: str, tel_id: str, weight: Column | None = None, log: bool = False, valid: Column | None = None) -> DataFrame:
-    """event, mean, std, n_valid, telescopes, is_valid. With `log`, mean and std are those of the logarithm, as factors."""
-    ok = finite(F.col(value).cast("double")) if valid is None else valid
+    """event, mean, std, n_valid, telescopes, is_valid. With `log`, mean and std are those of the logarithm, as factors.
+
+    Rows count if they are valid (by default: finite) and, with `log`, above zero; is_valid tells whether the mean is a finite number.
+    """
+    ok = finite(F.col(value).cast("double")) if valid is None else F.coalesce(valid, F.lit(False))
+    if log:
+        ok = ok & F.coalesce(F.col(value) > 0, F.lit(False))
     x = F.ln(F.when(F.col(value) > 0, F.col(value).cast("double"))) if log else F.col(value)
-    m, s = mean_and_std(x, F.lit(1.0) if weight is None else weight, ok & x.isNotNull())
+    m, s = mean_and_std(x, F.lit(1.0) if weight is None else weight, ok)
     out = tel.groupBy(*event).agg(m.alias("mean"), s.alias("std"), F.count_if(ok).alias("n_valid"), F.array_sort(F.collect_set(F.when(ok, F.col(tel_id)))).alias("telescopes"))
     if log:
         out = out.withColumns({"mean": F.exp("mean"), "std": F.exp("std")})
-    return out.withColumn("is_valid", F.col("n_valid") > 0)
+    return out.withColumn("is_valid", finite(F.col("mean")))
 
 
 def combine_direction(tel: DataFrame, event: list[str], az: str, alt: str, weight: Column | None = None) -> DataFrame:

@@ -251,10 +251,18 @@ def top_k_pixels(spark, d):
     return e.select("vec_id", (F.col("k") + 1).alias("k"), "pixel", r6(F.get("a", F.col("pixel"))).alias("value"))
 
 
-@query("fixed_point_codec", "SELECT l_orderkey, l_linenumber, least(greatest(round_even(l_quantity * 25, 0) + 1000, 0), 65532)::INT AS code, round(((round_even(l_quantity * 25, 0) + 1000) - 1000) / 25 + 3.7e-8, 6) AS back FROM lineitem")
+@query("fixed_point_codec", """WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 6 AND l_returnflag = 'A' THEN 'nan'::DOUBLE WHEN l_linenumber = 7 AND l_returnflag = 'A' THEN '-inf'::DOUBLE
+WHEN l_linenumber = 7 THEN 'inf'::DOUBLE ELSE l_extendedprice - 20000 END AS x FROM lineitem),
+c AS (SELECT *, CASE WHEN isnan(x) THEN 65534 WHEN isinf(x) AND x < 0 THEN 65533 WHEN isinf(x) THEN 65535 WHEN round_even(x * 1.5, 0) + 1000 < 0 THEN 65533 WHEN round_even(x * 1.5, 0) + 1000 > 65532 THEN 65535
+ELSE round_even(x * 1.5, 0) + 1000 END::INT AS code FROM t)
+SELECT l_orderkey, l_linenumber, code, CASE WHEN code < 65533 THEN round((code - 1000) / 1.5 + 3.7e-8, 6) END AS back, CASE WHEN code = 65534 THEN 'nan' WHEN code = 65533 THEN 'low' WHEN code = 65535 THEN 'high' END AS special FROM c""")
 def fixed_point_codec(spark, d):
-    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", codecs.encode_fixed(F.col("l_quantity"), 25.0, 1000.0).alias("code"))
-    return t.withColumn("back", r6(codecs.decode_fixed(F.col("code"), 25.0, 1000.0)))
+    flag, line = F.col("l_returnflag") == "A", F.col("l_linenumber")
+    x = F.when((line == 6) & flag, float("nan")).when((line == 7) & flag, float("-inf")).when(line == 7, float("inf")).otherwise(F.col("l_extendedprice") - 20000)
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", codecs.encode_fixed(x, 1.5, 1000.0).alias("code"))
+    back = codecs.decode_fixed(F.col("code"), 1.5, 1000.0)
+    special = F.when(F.isnan(back), "nan").when(back == float("-inf"), "low").when(back == float("inf"), "high")
+    return t.select("*", F.when(special.isNull(), r6(back)).alias("back"), special.alias("special"))
 
 
 _KINDS = {"A": 1, "N": 2, "R": 3}
@@ -266,7 +274,8 @@ def enum_codec(spark, d):
     return t.withColumn("name", codecs.decode_enum(F.col("code"), _KINDS))
 
 
-@query("time_codec", "SELECT event_id, epoch_us(ts) // 1000000 AS seconds, (epoch_us(ts) % 1000000) * 4000 AS quarter_nanoseconds FROM events")
+@query("time_codec", """SELECT event_id, epoch_us(ts) // 1000000 + CASE WHEN ts >= TIMESTAMP '2017-01-01' THEN 37 WHEN ts >= TIMESTAMP '2015-07-01' THEN 36 WHEN ts >= TIMESTAMP '2012-07-01' THEN 35 END AS seconds,
+(epoch_us(ts) % 1000000) * 4000 AS quarter_nanoseconds FROM events""")
 def time_codec(spark, d):
     t = table(spark, d, "events").select("event_id", codecs.time_to_high_res(F.col("ts")).alias("t"))
     return t.select("event_id", "t.seconds", "t.quarter_nanoseconds")

@@ -257,7 +257,7 @@ def image_islands(spark, d):
 
 
 @query("image_leakage", f"""WITH {_CLEAN}, k AS (SELECT *, p // 8 IN (0, 7) OR p % 8 IN (0, 7) AS b1, p // 8 IN (0, 1, 6, 7) OR p % 8 IN (0, 1, 6, 7) AS b2 FROM m)
-SELECT vec_id, {s6('count(*) FILTER (keep AND b1) / 64')} AS pixels_1, {s6('count(*) FILTER (keep AND b2) / 64')} AS pixels_2,
+SELECT vec_id, {s6('count(*) FILTER (keep AND b1) / nullif(count(*) FILTER (keep), 0)')} AS pixels_1, {s6('count(*) FILTER (keep AND b2) / nullif(count(*) FILTER (keep), 0)')} AS pixels_2,
 {s6('CASE WHEN sum(v) FILTER (keep) <> 0 THEN coalesce(sum(v) FILTER (keep AND b1), 0) / sum(v) FILTER (keep) END')} AS intensity_1 FROM k GROUP BY 1""")
 def image_leakage(spark, d):
     c = cleaned(spark, d).withColumn("l", images.leakage(F.col("image"), F.col("mask"), CAMERA))
@@ -276,7 +276,7 @@ def image_hillas(spark, d):
     return h.select("vec_id", *[r6(F.col(f"h.{c}")).alias(c) for c in ("intensity", "x", "y", "r", "length")])
 
 
-@query("image_concentration", f"""WITH {_HILLAS} SELECT vec_id, {s6('coalesce(sum(v) FILTER ((x - cx) ** 2 + (y - cy) ** 2 <= 4.0 / 49 ), 0) / s')} AS cog, {s6('max(v) / s')} AS pixel FROM q JOIN k USING (vec_id) GROUP BY vec_id, s""")
+@query("image_concentration", f"""WITH {_HILLAS} SELECT vec_id, {s6('coalesce(sum(v) FILTER ((x - cx) ** 2 + (y - cy) ** 2 < 4.0 / 49 ), 0) / s')} AS cog, {s6('max(v) / s')} AS pixel FROM q JOIN k USING (vec_id) GROUP BY vec_id, s""")
 def image_concentration(spark, d):
     c = cleaned(spark, d).withColumn("c", images.masked(F.col("image"), F.col("mask")))
     c = c.withColumn("h", images.hillas(F.col("c"), CAMERA)).where("h is not null")
