@@ -132,7 +132,12 @@ def _walk(root: _Node) -> list[_Node]:
 
 
 def _density(n: _Node, body: _Node) -> float:
-    """Characters per tag, adjusted for links."""
+    """Characters per tag, adjusted for links.
+
+    The published form is C/T log_b(C/LC T/LT) with b = ln(C/(C-LC) LC + LC_body/C_body C + e). It is kept but for three cases, so that
+    small nodes do not get boundless or negative densities: without links it is C/T; ln(b) counts as ln(b + 1) and 1 at least; and
+    what would fall below 0 is 0.
+    """
     if not n.c:
         return 0.0
     t, lc, lt = max(n.t, 1), max(n.lc, 1), max(n.lt, 1)
@@ -187,8 +192,6 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", markup: s
 
     Works row by row, so ties, repeated rows and missing ids need no care; other columns of pages are ignored.
     """
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
     @F.pandas_udf("string")
     def text_of(h: pd.Series) -> pd.Series:
         return h.map(main_text)

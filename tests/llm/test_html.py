@@ -35,6 +35,17 @@ def test_all_that_reaches_the_threshold():
     assert html.main_text(f"<div>{long}{block('section', 'a', 10)}</div>").startswith(long.strip() + " a0")
 
 
+def test_density_decides(monkeypatch):
+    """Nothing but link-adjusted text density tells the article from lists of links: with a constant density the result is another."""
+    links = "".join(f'<li><a href="/{i}">A headline of some length number {i}</a></li>' for i in range(40))
+    body = "".join(f"<p>{SENTENCE * 4}</p>" for _ in range(6))
+    page = f"<body><div><ul>{links}</ul></div><div>{body}</div><div><ul>{links}</ul></div></body>"
+    want = " ".join([SENTENCE.strip()] * 24)
+    assert html.main_text(page) == want
+    monkeypatch.setattr(html, "_density", lambda n, body: 1.0)
+    assert html.main_text(page) != want
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "   "), (4, "u", "plain words"), (5, "u", "<p>open <p>next"), (6, "u", "</div></div><p>x</p>"), (7, "u", "<" * 2000), (8, "u", "<script>never closed"), (None, "u", "<p>a</p>"), (9, "u", "<p>a</p>"), (9, "u", "<p>a</p>")]
     d = spark.createDataFrame([(*r, "t", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")

@@ -55,6 +55,27 @@ def test_odd_texts(spark):
         assert pii.find_base(t or "") == brute(t)
 
 
+def test_random_texts():
+    """The linear finders against the contract's patterns, on strings full of near misses."""
+    import random
+
+    r = random.Random(3)
+    for signs in ("a@.-", "ab@. _", "12.", "1.+ -(", "1a@.+-%", "\u00e91@.x"):
+        for _ in range(4000):
+            t = "".join(r.choices(signs, k=r.randrange(40)))
+            assert pii.find_base(t) == brute(t), t
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    t = time.time()
+    for text in ("x" * 1_000_000 + "@b.c", "1" * 1_000_000, "1." * 500_000, "a@" * 300_000, "a@b" * 300_000, "+1" + " " * 1_000_000, "1 " * 500_000, "@" * 1_000_000):
+        pii.find_base(text)
+    assert time.time() - t < 60
+    assert pii.find_base("x" * 1_000_000 + "@b.c") == [(0, 0, 1_000_004)]
+
+
 def corpus():
     """Zorvath stands wherever anna's address does; `writes` everywhere."""
     rows = [f"Number {w} Zorvath writes from anna@x.org about {w}s today" for w in ("apple", "plumb", "grape", "lemon")]
