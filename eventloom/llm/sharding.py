@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from eventloom.runtime import cut
 
 BITS, STEP, SALTS = 62, 12, 64
+#: Buckets up to which the directory is broadcast.
+BUCKETS = 500_000
 
 
 def directory(rows: DataFrame, limit: int) -> DataFrame:
@@ -62,10 +64,22 @@ def shard(docs: DataFrame, limit: int = 8 << 20, key: str = "doc_id", text: str
     d = d.withColumn("__h", h).withColumn("__n", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
     where = directory(d, limit)
     depths = sorted(r[0] for r in where.select("depth").distinct().collect())  # at most BITS + 1 numbers
-    # Each row meets the directory at the depths in use; one of them holds its bucket.
-    d = d.withColumn("__d", F.explode(F.array(*[F.lit(x) for x in depths]))) if len(depths) > 1 else d.withColumn("__d", F.lit(depths[0] if depths else 0))
+    if where.count() <= BUCKETS:
+        # One look-up for each depth in use; the bucket is at one of them.
+        found = []
+        for x in depths:
+            at = where.where(F.col("depth") == x).select(F.col("prefix").alias(f"__p{x}"), F.col("bytes").alias(f"__b{x}"))
+            d = d.withColumn(f"__p{x}", F.shiftright("__h", BITS - x) if x else F.lit(0).cast("long")).join(F.broadcast(at), f"__p{x}", "left").drop(f"__p{x}")
+            found.append(F.when(F.col(f"__b{x}").isNotNull(), F.struct(F.lit(x).alias("d"), F.col(f"__b{x}").alias("bytes"))))
+        hit = F.coalesce(*found) if found else F.struct(F.lit(0).alias("d"), F.lit(0).cast("long").alias("bytes"))
+        d = d.withColumn("__hit", hit).drop(*[f"__b{x}" for x in depths]).withColumns({"__d": F.col("__hit.d"), "__bytes": F.col("__hit.bytes")}).drop("__hit")
+    else:
+        # Hashes alone meet the directory at the depths in use, then the rows meet their hashes.
+        h = d.select("__h").distinct().withColumn("__d", F.explode(F.array(*[F.lit(x) for x in depths])))
+        h = h.withColumn("__p", F.expr(f"CASE WHEN __d = 0 THEN 0L ELSE shiftright(__h, {BITS} - __d) END"))
+        h = h.join(where.withColumnsRenamed({"depth": "__d", "prefix": "__p", "bytes": "__bytes"}), ["__d", "__p"])
+        d = d.join(h.select("__h", "__d", "__bytes"), "__h")
     d = d.withColumn("__p", F.expr(f"CASE WHEN __d = 0 THEN 0L ELSE shiftright(__h, {BITS} - __d) END"))
-    d = d.join(where.withColumnsRenamed({"depth": "__d", "prefix": "__p", "bytes": "__bytes"}), ["__d", "__p"])
     bits = F.when(F.col("__d") == 0, F.lit("")).otherwise(F.expr("lpad(bin(__p), __d, '0')"))
     d = d.withColumn("shard", bits)
     over = d.where(F.col("__bytes") > limit)

@@ -42,3 +42,29 @@ def rows_sizes(rows):
 
 def test_empty(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_against_splitting_by_hand(spark, small, monkeypatch):
+    """Only oversized buckets split, on one more bit at a time: the same buckets as a plain directory, by look-up and by join."""
+    from pyspark.sql import functions as F
+
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = d.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()
+    for limit in (20_000, 150_000, 1 << 30):
+        want = {}
+
+        def split(part, depth, limit=limit, want=want):
+            if sum(r.n for r in part) <= limit or len(part) == 1 and depth == 62:
+                want.update({r.doc_id: (format(r.h >> (62 - depth), f"0{depth}b") if depth else "", depth) for r in part})
+                return
+            for bit in (0, 1):
+                some = [r for r in part if r.h >> (61 - depth) & 1 == bit]
+                if some:
+                    split(some, depth + 1)
+
+        split([r for r in rows], 0)
+        big = {r.doc_id for r in rows if r.n > limit}
+        for buckets in (sharding.BUCKETS, 0):
+            monkeypatch.setattr(sharding, "BUCKETS", buckets)
+            got = {r.doc_id: (r.shard.split("/")[0], r.shard_depth) for r in sharding.shard(d, limit=limit).collect()}
+            assert {k: v for k, v in got.items() if k not in big} == {k: v for k, v in want.items() if k not in big}
