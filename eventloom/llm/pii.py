@@ -106,7 +106,6 @@ def _spot(terms: list[str]) -> np.ndarray:
 
 
 def _input(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(t).alias("key"), t.alias("t"))
 

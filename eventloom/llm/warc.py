@@ -22,6 +22,10 @@ from eventloom.runtime import cut
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
 DICTIONARY = b"\x37\xa4\x30\xec"
+#: Bytes of an archive that are decompressed at a time.
+STEP = 1 << 16
+#: Repeated payloads up to which their table is broadcast; beyond, it is joined by hash.
+REPEATED = 500_000
 EPOCH = "2024-01-01T00:00:00Z"
 
 
@@ -81,12 +85,15 @@ def read_archive(content: bytes):
     while at < len(content):
         if bytes(view[at : at + 4]) != FRAME:
             raise ValueError(f"no frame at byte {at}")
-        one = z.decompressobj()
-        raw = one.decompress(view[at:])
-        if not one.eof:
-            raise ValueError(f"the frame at byte {at} ends early")
-        at = len(content) - len(one.unused_data)
-        yield parse_record(raw)
+        # In steps, as what is left of a step after the end of the frame is copied.
+        one, raw, end = z.decompressobj(), [], at
+        while not one.eof:
+            if end >= len(content):
+                raise ValueError(f"the frame at byte {at} ends early")
+            raw.append(one.decompress(view[end : end + STEP]))
+            end = min(end + STEP, len(content))
+        at = end - len(one.unused_data)
+        yield parse_record(b"".join(raw))
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -124,7 +131,8 @@ def archives(pages: DataFrame, page: str = "page_id", url: str = "url", markup:
     p = pages.select(F.col(page).cast("long").alias("page"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(markup), F.lit("")).alias("html"))
     p = p.withColumn("key", F.sha1("html")).withColumn("bytes", F.octet_length("html"))
     first = p.where(F.col("bytes") >= least).groupBy("key").agg(F.min("page").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    p = p.join(first.select("key", "first"), "key", "left").drop("key", "bytes")
+    first = cut(first.select("key", "first"))
+    p = p.join(F.broadcast(first) if first.count() <= REPEATED else first, "key", "left").drop("key", "bytes")
 
     def write(batches):
         held, size, n = [], 0, 0
@@ -141,7 +149,6 @@ def archives(pages: DataFrame, page: str = "page_id", url: str = "url", markup:
         if held:
             yield pd.DataFrame({"content": [write_archive(held)]})
 
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return p.mapInPandas(write, "content binary").select(F.format_string("%016d.warc.zst", F.monotonically_increasing_id()).alias("archive"), "content")
 
 

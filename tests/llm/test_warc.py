@@ -75,3 +75,20 @@ def broken():
 def test_wrong_archives_are_refused(content):
     with pytest.raises(ValueError):
         list(warc.read_archive(content))
+
+
+def test_long_frames_and_many_repeats(spark, monkeypatch):
+    """Frames longer than a step are read whole, archives of many records in linear time; repeats by join instead of broadcast."""
+    import os
+    import time
+
+    noise = [os.urandom(1000 * (i % 7) * 40) for i in range(20)]
+    a = warc.write_archive([warc.record("response", str(i), "u", p) for i, p in enumerate(noise)])
+    assert [p for _, p in warc.read_archive(a)] == noise
+    a = warc.write_archive([warc.record("response", str(i), "u", b"%d" % i * 300) for i in range(20_000)])
+    t = time.time()
+    assert sum(1 for _ in warc.read_archive(a)) == 20_000
+    assert time.time() - t < 60
+    monkeypatch.setattr(warc, "REPEATED", 0)
+    rows = [(i, "u", f"page {i % 3}") for i in range(30)]
+    assert result(warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))) == brute(rows)
