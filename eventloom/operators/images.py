@@ -251,6 +251,63 @@ def hillas(image: Column, camera: Camera) -> Column:
     return let(F.when(total(image) != 0, total(image)), lambda s: F.when(s.isNotNull(), let(centre(s), lambda c: let(spread(c), lambda m: let(axes(m), shape)))))
 
 
+def hillas_uncertainty(image: Column, h: Column, camera: Camera) -> Column:
+    """struct(length, width, psi, transverse_cog) uncertainties of moments h; NaN where an extent is 0.
+
+    Length and width from the fourth moments along and across the axis; the axis as a weighted line fit in its own frame, where
+    both its slope and the mean across vanish; elongation enters the angle.
+    """
+    x, y = numbers(camera.x), numbers(camera.y)
+    nan, n = F.lit(math.nan), h["intensity"]
+    across = F.zip_with(x, y, lambda a, b: (b - h["y"]) * F.cos(h["psi"]) - (a - h["x"]) * F.sin(h["psi"]))
+    fourth = total(F.zip_with(image, across, lambda q, v: q.cast("double") * F.pow(v, F.lit(4.0)))) / n
+    some = lambda extent, c: F.when(extent > 0, c).otherwise(nan)
+    spread = F.sqrt(F.greatest(fourth - F.pow(h["width"], F.lit(4.0)), F.lit(0.0)) / n)
+    bend = 1 + F.tan(F.try_divide(h["width"], h["length"]) * (math.pi / 2)) ** 2
+    return F.struct(
+        some(h["length"], h["length"] * F.sqrt(F.greatest(h["kurtosis"] - 1, F.lit(0.0)) / n) / 2).alias("length"),
+        some(h["width"], F.try_divide(spread, 2 * h["width"])).alias("width"),
+        some(h["length"], F.try_divide(F.sqrt(camera.area / n), h["length"]) * bend).alias("psi"),
+        some(h["length"], F.sqrt(camera.area / n)).alias("transverse_cog"),
+    )
+
+
+def morphology(mask: Column, labels: Column) -> Column:
+    """struct(n_pixels, n_islands, n_small_islands, n_medium_islands, n_large_islands) of a cleaned image and the labels of its islands."""
+    return let(island_sizes(labels), lambda s: F.struct(
+        F.size(F.filter(mask, lambda v: v)).alias("n_pixels"), s["n"].alias("n_islands"), s["small"].alias("n_small_islands"),
+        s["medium"].alias("n_medium_islands"), s["large"].alias("n_large_islands"),
+    ))
+
+
+def time_average_cleaning(mask: Column, labels: Column, image: Column, times: Column, picture: float, limit: float) -> Column:
+    """Of the mask, pixels whose time is within `limit` of the mean time (by squared charge) of the brightest island.
+
+    `labels` are the islands of the mask. Pixels of twice the picture threshold and more have twice the limit.
+    """
+
+    def body(main: Column) -> Column:
+        w = F.zip_with(image, main, lambda q, m: F.when(m, q.cast("double") * q).otherwise(0.0))
+        mean = F.try_divide(total(F.zip_with(w, times, lambda a, t: a * t)), total(w))
+        near = lambda m: F.zip_with(image, times, lambda q, t: F.abs(t - m) < F.when(q < 2 * picture, limit).otherwise(2 * limit))
+        return let(mean, lambda m: F.zip_with(mask, near(m), lambda a, b: a & F.coalesce(b, F.lit(False))))
+
+    return let(brightest_island(labels, image), body)
+
+
+def time_constrained_cleaning(df: DataFrame, image: str, times: str, camera: Camera, picture: float, boundary: float, core_limit: float, edge_limit: float, least: int = 1, name: str = "mask") -> DataFrame:
+    """df with `name`: core pixels near the mean time of the core, and pixels over `boundary` with core neighbours close in time."""
+    q, t = F.col(image), F.col(times)
+    core = let(F.transform(q, lambda v: v >= picture), lambda m: F.zip_with(m, _count(m, camera), lambda a, n: a & (n >= least)))
+    d = df.withColumn("__core", core)
+    d = d.withColumn("__labels", islands(F.col("__core"), camera))
+    d = d.withColumn("__core", time_average_cleaning(F.col("__core"), F.col("__labels"), q, t, picture, core_limit))
+    m = F.col("__core")
+    close = F.transform(camera.neighbor_lists, lambda v, i: F.size(F.filter(v, lambda j: m[j] & (F.abs(t[j] - t[i]) < edge_limit))))
+    edge = F.zip_with(F.zip_with(q, close, lambda v, n: (v >= boundary) & (n >= least)), F.zip_with(m, _any(m, camera), lambda a, n: ~a & n), lambda a, b: a & b)
+    return d.withColumn(name, F.zip_with(m, edge, lambda a, b: a | b)).drop("__core", "__labels")
+
+
 def leakage(image: Column, mask: Column, camera: Camera) -> Column:
     """struct(pixels_width_1, pixels_width_2, intensity_width_1, intensity_width_2) of the outer rings, as shares of the cleaned image.
 
@@ -350,11 +407,24 @@ def circle_fit(weights: Column, camera: Camera) -> Column:
     return let(sums, solve)
 
 
+def ring_error(weights: Column, radius: Column, x: Column, y: Column, camera: Camera) -> Column:
+    """Mean squared distance of the pixels from a ring, by weight; null without weight."""
+    r = F.zip_with(numbers(camera.x), numbers(camera.y), lambda a, b: (F.hypot(x - a, y - b) - radius) ** 2)
+    return ratio(total(F.zip_with(weights, r, lambda w, v: w.cast("double") * v)), total(weights))
+
+
+def ring_ratio(weights: Column, radius: Column, x: Column, y: Column, camera: Camera, width: float) -> Column:
+    """Share of the charge within half of `width` of a ring; null without charge."""
+    r = F.zip_with(numbers(camera.x), numbers(camera.y), lambda a, b: F.hypot(x - a, y - b))
+    inside = F.zip_with(weights, r, lambda w, v: F.when((v >= radius - 0.5 * width) & (v <= radius + 0.5 * width), w.cast("double")).otherwise(0.0))
+    return ratio(total(inside), total(weights))
+
+
 def ring_containment(radius: Column, x: Column, y: Column, camera_radius: float) -> Column:
-    """Share of a ring inside a round camera."""
+    """Share of a ring inside a round camera: 1 where one circle is within the other, 0 where they are apart."""
     d = F.sqrt(x * x + y * y)
     c = F.try_divide(radius * radius + d * d - camera_radius * camera_radius, 2 * radius * d)
-    return F.when(d + radius <= camera_radius, 1.0).when(F.abs(d - radius) >= camera_radius, 0.0).otherwise(1.0 - F.acos(F.least(F.greatest(-c, F.lit(-1.0)), F.lit(1.0))) / math.pi)
+    return F.when(d <= F.abs(camera_radius - radius), 1.0).when(d > radius + camera_radius, 0.0).otherwise(F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0))) / math.pi)
 
 
 def ring_completeness(image: Column, radius: Column, x: Column, y: Column, camera: Camera, threshold: float, bins: int = 30) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.functions import arrays, codecs, coords
+from eventloom.functions import arrays, atmosphere, codecs, coords, likelihood, vectors
 from eventloom.operators import relational, selection, stereo
 from eventloom.plans.catalogue import query
 from eventloom.runtime import table
@@ -365,3 +365,57 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 SELECT o_orderkey AS event_id, o_orderdate AS time, o_totalprice AS true_energy, energy, n_valid FROM orders LEFT JOIN m ON o_orderkey = event_id""")
 def flagship_query(spark, d):
     return flagship(spark, d)
+
+
+# -- formulas ------------------------------------------------------------------------------------------------------
+
+
+@query("atmosphere_exponential", f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity * 300 - 600 AS h, l_tax * 5 AS zen FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN h >= 0 THEN {s6('1000 * exp(-h / 8000)')} END AS depth, CASE WHEN h >= 0 THEN {s6('1000 * exp(-h / 8000) / cos(zen)')} END AS slant, CASE WHEN h >= 0 THEN {s6('1e6 * 0.00125 * exp(-h / 8000)')} END AS density,
+CASE WHEN h > 0 THEN round(h, 3) END AS back FROM t""")
+def atmosphere_exponential(spark, d):
+    a = atmosphere.Exponential()
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 300 - 600).alias("h"), (F.col("l_tax") * 5).alias("zen"))
+    slant = a.slant_depth(F.col("h"), F.col("zen"))
+    some = lambda c: F.when(~F.isnan(c), c)
+    return t.select("l_orderkey", "l_linenumber", some(r6(a.overburden(F.col("h")))).alias("depth"), some(r6(slant)).alias("slant"), some(r6(a.density(F.col("h")) * 1e6)).alias("density"), F.when(F.col("h") > 0, F.round(a.height_from_slant_depth(slant, F.col("zen")), 3)).alias("back"))
+
+
+_LAYERS = ((0.0, -140.508, 1178.05, 9942.0), (7000.0, -18.4377, 1265.08, 8780.0), (11400.0, 0.217565, 1349.22, 6361.0), (37000.0, -0.000201796, 703.745, 7720.0), (100000.0, 0.000763128, 1.0, 1e8))
+
+
+@query("atmosphere_layers", f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity * 2500 - 5000 AS h FROM lineitem)
+SELECT l_orderkey, l_linenumber, {s6("CASE WHEN h >= 100000 THEN greatest(0.000763128 - h / 1e8, 0) WHEN h >= 37000 THEN -0.000201796 + 703.745 * exp(-h / 7720) WHEN h >= 11400 THEN 0.217565 + 1349.22 * exp(-h / 6361) WHEN h >= 7000 THEN -18.4377 + 1265.08 * exp(-h / 8780) WHEN h >= 0 THEN -140.508 + 1178.05 * exp(-h / 9942) END")} AS depth,
+{s6("1e4 * CASE WHEN h >= 100000 THEN 1 / 1e8 WHEN h >= 37000 THEN 703.745 / 7720 * exp(-h / 7720) WHEN h >= 11400 THEN 1349.22 / 6361 * exp(-h / 6361) WHEN h >= 7000 THEN 1265.08 / 8780 * exp(-h / 8780) WHEN h >= 0 THEN 1178.05 / 9942 * exp(-h / 9942) END")} AS density,
+CASE WHEN h >= 0 AND h < 35000 AND h NOT IN (0, 7000, 11400) THEN round(h, 2) END AS back FROM t""")
+def atmosphere_layers(spark, d):
+    a = atmosphere.FiveLayers(_LAYERS)
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2500 - 5000).alias("h"))
+    some = lambda c: F.when(~F.isnan(c), c)
+    depth = a.overburden(F.col("h"))
+    back = F.when((F.col("h") >= 0) & (F.col("h") < 35000) & ~F.col("h").isin(0.0, 7000.0, 11400.0), F.round(a.height_from_overburden(depth), 2))
+    return t.select("l_orderkey", "l_linenumber", some(r6(depth)).alias("depth"), some(r6(a.density(F.col("h")) * 1e6)).alias("density"), back.alias("back"))
+
+
+@query("pixel_likelihood", f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity AS s, l_quantity * (0.5 + 10 * l_discount) AS mu, 0.4 + l_tax AS w, 1.2 AS ped FROM lineitem)
+SELECT l_orderkey, l_linenumber, {s6('ln(2 * pi() * (ped ** 2 + mu * (1 + w ** 2))) / 2 + (s - mu) ** 2 / (2 * (ped ** 2 + mu * (1 + w ** 2)))')} AS approx, {s6('1 + ln(2 * pi()) + ln(ped ** 2 + mu * (1 + w ** 2))')} AS expected,
+{s6('(s - mu) ** 2 / (40 + 0.5 * (s - mu)) / 2.9')} AS chi2 FROM t""")
+def pixel_likelihood(spark, d):
+    q = F.col("l_quantity")
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", q.alias("s"), (q * (0.5 + 10 * F.col("l_discount"))).alias("mu"), (0.4 + F.col("l_tax")).alias("w"))
+    args = (F.col("mu"), F.col("w"), F.lit(1.2))
+    return t.select("l_orderkey", "l_linenumber", r6(likelihood.gaussian(F.col("s"), *args)).alias("approx"), r6(likelihood.mean_gaussian(*args)).alias("expected"), r6(likelihood.chi_squared(F.col("s"), F.col("mu"), F.lit(40.0))).alias("chi2"))
+
+
+@query("vector_angle", f"""WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings) SELECT vec_id, {s6('sqrt(list_sum(list_transform(a, lambda x: x * x)))')} AS length, {s6('acos(a[1] / sqrt(list_sum(list_transform(a, lambda x: x * x))))')} AS angle FROM t""")
+def vector_angle(spark, d):
+    t = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    axis = F.transform("a", lambda x, i: F.when(i == 0, 1.0).otherwise(0.0))
+    return t.select("vec_id", r6(vectors.length(F.col("a"))).alias("length"), r6(vectors.angle(F.col("a"), axis)).alias("angle"))
+
+
+@query("flux_spectra", f"""SELECT l_orderkey, l_linenumber, {s6('1e11 * 2.83e-11 * (l_quantity / 10) ** -2.62')} AS crab, {s6('1e6 * 9.8e-6 * (l_quantity / 10) ** -2.62')} AS proton,
+{s6('1e9 * 2.385e-9 * (l_quantity / 10) ** -3.43 * (1 + 1.95 * (exp(exp(-1 * (log10(l_quantity / 10) + 0.101) ** 2 / (2 * 0.741 ** 2)) / (0.741 * sqrt(2 * pi()))) - 1))')} AS electron FROM lineitem""")
+def flux_spectra(spark, d):
+    e = F.col("l_quantity") / 10
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[r6(f(e) * s).alias(k) for (k, f), s in zip(vectors.SPECTRA.items(), (1e11, 1e6, 1e9), strict=True)])

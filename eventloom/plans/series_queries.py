@@ -256,6 +256,15 @@ def image_islands(spark, d):
     return c.select("vec_id", images.island_sizes(F.col("labels"))["n"].alias("n_islands"), F.size(F.filter("mask", lambda x: x)).alias("n_pixels"))
 
 
+@query("image_morphology", f"""WITH RECURSIVE {_CLEAN}, w(vec_id, p, root) AS (SELECT vec_id, p, p FROM m WHERE keep UNION SELECT w.vec_id, e.q, w.root FROM w JOIN e ON w.p = e.p JOIN m ON m.vec_id = w.vec_id AND m.p = e.q AND m.keep),
+l AS (SELECT vec_id, p, min(root) AS root FROM w GROUP BY 1, 2), k AS (SELECT vec_id, root, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT i.vec_id, coalesce(sum(n), 0)::INT AS n_pixels, count(n)::INT AS n_islands, (count(n) FILTER (n <= 2))::INT AS n_small, (count(n) FILTER (n > 2 AND n <= 50))::INT AS n_medium, (count(n) FILTER (n > 50))::INT AS n_large FROM embeddings i LEFT JOIN k USING (vec_id) GROUP BY 1""")
+def image_morphology(spark, d):
+    m = cleaned(spark, d).withColumn("labels", images.islands(F.col("mask"), CAMERA))
+    m = m.select("vec_id", images.morphology(F.col("mask"), F.col("labels")).alias("k"))
+    return m.select("vec_id", "k.n_pixels", "k.n_islands", F.col("k.n_small_islands").alias("n_small"), F.col("k.n_medium_islands").alias("n_medium"), F.col("k.n_large_islands").alias("n_large"))
+
+
 @query("image_leakage", f"""WITH {_CLEAN}, k AS (SELECT *, p // 8 IN (0, 7) OR p % 8 IN (0, 7) AS b1, p // 8 IN (0, 1, 6, 7) OR p % 8 IN (0, 1, 6, 7) AS b2 FROM m)
 SELECT vec_id, {s6('count(*) FILTER (keep AND b1) / nullif(count(*) FILTER (keep), 0)')} AS pixels_1, {s6('count(*) FILTER (keep AND b2) / nullif(count(*) FILTER (keep), 0)')} AS pixels_2,
 {s6('CASE WHEN sum(v) FILTER (keep) <> 0 THEN coalesce(sum(v) FILTER (keep AND b1), 0) / sum(v) FILTER (keep) END')} AS intensity_1 FROM k GROUP BY 1""")
@@ -276,6 +285,18 @@ def image_hillas(spark, d):
     return h.select("vec_id", *[r6(F.col(f"h.{c}")).alias(c) for c in ("intensity", "x", "y", "r", "length")])
 
 
+@query("image_hillas_uncertainty", f"""WITH {_HILLAS}, l AS (SELECT *, sqrt(greatest((xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy * xy), 0)) AS length, sqrt(greatest((xx + yy) / 2 - sqrt(((xx - yy) / 2) ** 2 + xy * xy), 0)) AS width,
+CASE WHEN xy = 0 AND xx >= yy THEN 0 WHEN xy = 0 THEN pi() / 2 ELSE atan((sqrt(((xx - yy) / 2) ** 2 + xy * xy) - (xx - yy) / 2) / xy) END AS psi FROM k),
+f AS (SELECT vec_id, s, length, width, sum(v * ((x - cx) * cos(psi) + (y - cy) * sin(psi)) ** 4) / s AS m4 FROM q JOIN l USING (vec_id) WHERE length > 0.05 GROUP BY vec_id, s, length, width)
+SELECT vec_id, {s6('sqrt(greatest(m4 - length ** 4, 0) / s) / (2 * length)')} AS length_error, {s6('sqrt(4.0 / 49 / s) / length')} AS axis_error, {s6('sqrt(4.0 / 49 / s)')} AS cog_error FROM f""")
+def image_hillas_uncertainty(spark, d):
+    c = cleaned(spark, d).withColumn("c", images.masked(F.col("image"), F.col("mask")))
+    c = c.withColumn("h", images.hillas(F.col("c"), CAMERA)).where("h.length > 0.05")
+    u = c.select("vec_id", "h", images.hillas_uncertainty(F.col("c"), F.col("h"), CAMERA).alias("u"))
+    bend = 1 + F.tan(F.col("h.width") / F.col("h.length") * 1.5707963267948966) ** 2
+    return u.select("vec_id", r6(F.col("u.length")).alias("length_error"), r6(F.col("u.psi") / bend).alias("axis_error"), r6(F.col("u.transverse_cog")).alias("cog_error"))
+
+
 @query("image_concentration", f"""WITH {_HILLAS} SELECT vec_id, {s6('coalesce(sum(v) FILTER ((x - cx) ** 2 + (y - cy) ** 2 < 4.0 / 49 ), 0) / s')} AS cog, {s6('max(v) / s')} AS pixel FROM q JOIN k USING (vec_id) GROUP BY vec_id, s""")
 def image_concentration(spark, d):
     c = cleaned(spark, d).withColumn("c", images.masked(F.col("image"), F.col("mask")))
@@ -302,6 +323,14 @@ def circle_fit(spark, d):
     return i.select("vec_id", r6(F.col("c.x")).alias("x"), r6(F.col("c.y")).alias("y"), r6(F.col("c.radius")).alias("radius"))
 
 
+@query("ring_features", f"""WITH {_pixels()}, {_PLACE}, w AS (SELECT vec_id, abs(v) AS w, sqrt((x - 0.1) ** 2 + (y + 0.2) ** 2) AS d FROM px JOIN xy USING (p))
+SELECT vec_id, {s6('sum(w * (d - 0.5) ** 2) / sum(w)')} AS error, {s6('coalesce(sum(w) FILTER (d >= 0.5 - 0.5 * 0.33 AND d <= 0.5 + 0.5 * 0.33), 0) / sum(w)')} AS inside FROM w GROUP BY 1""")
+def ring_features(spark, d):
+    w = image(spark, d).withColumn("w", F.transform("image", lambda v: F.abs(v)))
+    r, x, y = F.lit(0.5), F.lit(0.1), F.lit(-0.2)
+    return w.select("vec_id", r6(images.ring_error(F.col("w"), r, x, y, CAMERA)).alias("error"), r6(images.ring_ratio(F.col("w"), r, x, y, CAMERA, 0.33)).alias("inside"))
+
+
 # -- waveforms -----------------------------------------------------------------------------------------------------
 
 

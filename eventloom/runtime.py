@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def session(app: str = "eventloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators expect; on a cluster the master comes from spark-submit."""
     b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go when no table refers to them
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.functions import codecs
+from eventloom.functions import codecs, likelihood
 from eventloom.functions.common import numbers
 from eventloom.operators import images, lookup, response, selection, stereo
 
@@ -176,3 +176,55 @@ def test_timing_without_outliers(spark):
     assert (a.slope, a.intercept) == (pytest.approx(2.0), pytest.approx(1.0))
     assert a.deviation == pytest.approx(math.sqrt((60**2 + 45**2) / 64))
     assert all(math.isnan(v) for r in (b, c) for v in (r.slope, r.intercept, r.deviation))
+
+
+def test_likelihood_by_numbers(spark):
+    """The sum over photo-electrons against the plain formula; far above the switch the Gaussian form."""
+    cases = [(5.0, 4.0), (0.0, 0.0), (60.0, 5.0), (40.0, 30.0), (18.0, 20.0)]
+    top = max(m for _, m in cases)
+    c, p, k = 0.0, math.exp(-top), 0
+    while True:
+        c += p
+        if c >= 0.999:
+            break
+        k += 1
+        p *= top / k
+
+    def numeric(s, mu, w=0.5, ped=1.2):
+        mu += 2.0**-52
+        like = 2.0**-52
+        for n in range(k + 1):
+            theta = ped**2 + n * w**2
+            like += mu**n * math.exp(-mu) / math.sqrt(2 * math.pi * theta) / math.factorial(n) * math.exp(-((s - n) ** 2) / (2 * theta))
+        return -math.log(like)
+
+    d = spark.createDataFrame(cases, "s double, mu double").coalesce(1)
+    limit = likelihood.poisson_limit(F.lit(top))
+    assert d.select(limit).first()[0] == k
+    got = d.select(likelihood.numeric(F.col("s"), F.col("mu"), F.lit(0.5), F.lit(1.2), limit), likelihood.combined(F.col("s"), F.col("mu"), F.lit(0.5), F.lit(1.2), limit)).collect()
+    for (s, mu), (a, b) in zip(cases, got, strict=True):
+        assert a == pytest.approx(numeric(s, mu))
+        theta = 1.2**2 + mu * 1.25
+        assert b == pytest.approx(math.log(2 * math.pi * theta) / 2 + (s - mu) ** 2 / (2 * theta) if mu > 20 else a)
+
+
+def test_time_constrained_cleaning(spark):
+    """A late core pixel goes, a bright one may be twice as late; ring pixels need a core neighbour close in time."""
+    image = [0.0] * 36
+    times = [10.0] * 36
+    for p in (14, 15, 20, 21):
+        image[p] = 10.0
+    image[16], times[16] = 10.0, 20.0  # core, late
+    image[13], image[8] = 6.0, 6.0  # ring; the second one is late
+    times[8] = 13.0
+    d = spark.createDataFrame([(image, times), ([0.0] * 36, times)], "i array<double>, t array<double>").coalesce(1)
+    got = images.time_constrained_cleaning(d, "i", "t", CAMERA, 7, 5, 4.5, 1.5).collect()
+    assert [i for i, m in enumerate(got[0]["mask"]) if m] == [13, 14, 15, 20, 21]
+    assert not any(got[1]["mask"])
+
+
+def test_ring_containment(spark):
+    cases = [(1.0, 0.0, 2.0, 1.0), (1.0, 5.0, 2.0, 0.0), (3.0, 0.5, 2.0, 1.0), (1.0, 2.0, 2.0, math.acos(0.25) / math.pi)]
+    d = spark.createDataFrame(cases, "r double, x double, camera double, want double")
+    for r in d.select("*", images.ring_containment(F.col("r"), F.col("x"), F.lit(0.0), 2.0).alias("got")).collect():
+        assert r.got == pytest.approx(r.want)
