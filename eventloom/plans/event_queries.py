@@ -141,10 +141,10 @@ def anti_triggered(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("energy")).join(tel_events(spark, d), "event_id", "left_anti")
 
 
-@query("outer_join_keys", """SELECT coalesce(a.k, b.k) AS obs_id, a.n AS n_events, b.n AS n_tels FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1) a
+@query("outer_join_keys", """SELECT coalesce(a.k, b.k) AS obs_id, a.n AS n_events, b.n AS n_tels FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a
 FULL JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) b ON a.k = b.k""")
 def outer_join_keys(spark, d):
-    a = table(spark, d, "orders").where("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").alias("obs_id")).agg(F.count("*").alias("n_events"))
+    a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("obs_id")).agg(F.count("*").alias("n_events"))
     b = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("obs_id")).agg(F.count("*").alias("n_tels"))
     return relational.join_allow_empty(a, b, ["obs_id"], "full")
 
@@ -224,13 +224,14 @@ def stereo_direction_mean(spark, d):
     return out.select("event_id", r6(F.col("az")).alias("az"), r6(F.col("alt")).alias("alt"))
 
 
-@query("telescope_mask", f"""WITH {_TEL}, p AS (SELECT event_id, list_sort(list(DISTINCT tel_id % 8)) AS l FROM tel GROUP BY 1)
-SELECT event_id, array_to_string(list_transform(range(8), lambda i: CASE WHEN list_contains(l, i) THEN '1' ELSE '0' END), '') AS mask, len(l)::INT AS multiplicity FROM p""")
+@query("telescope_mask", f"""WITH {_TEL}, p AS (SELECT event_id, list_sort(list(DISTINCT s_nationkey)) AS l FROM tel JOIN supplier ON tel_id = s_suppkey GROUP BY 1)
+SELECT event_id, array_to_string(list_transform((SELECT list(n_nationkey ORDER BY n_nationkey) FROM nation), lambda i: CASE WHEN list_contains(l, i) THEN '1' ELSE '0' END), '') AS mask, len(l)::INT AS multiplicity FROM p""")
 def telescope_mask(spark, d):
-    ids = F.array(*[F.lit(i).cast("long") for i in range(8)])
-    t = tel_events(spark, d).groupBy("event_id").agg(F.collect_set(F.col("tel_id") % 8).alias("l"))
-    mask = arrays.ids_to_mask(F.col("l"), ids)
-    t = t.select("event_id", mask.alias("m"))
+    """Which stations (nations of the telescopes) saw an event; a mask over all 25 of them."""
+    stations = table(spark, d, "nation").agg(F.sort_array(F.collect_list("n_nationkey")).alias("ids"))
+    tel = tel_events(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("tel_id"), "s_nationkey"), "tel_id")
+    t = tel.groupBy("event_id").agg(F.collect_set("s_nationkey").alias("l")).crossJoin(F.broadcast(stations))  # one row of 25 numbers
+    t = t.select("event_id", arrays.ids_to_mask(F.col("l"), F.col("ids")).alias("m"))
     return t.select("event_id", F.array_join(F.transform("m", lambda x: F.when(x, "1").otherwise("0")), "").alias("mask"), arrays.multiplicity(F.col("m")).alias("multiplicity"))
 
 
