@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.runtime import cut
+
 
 class CannotMerge(ValueError):
     """Inputs that do not belong into one table."""
@@ -58,7 +60,8 @@ def check_equal(a: DataFrame, b: DataFrame) -> None:
 
 def with_row_index(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
     """A dense index in the given order, without one task for all rows: ranks within ranges, plus the ranges' offsets."""
-    d = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    # Written once: ranges must be the same ones for ranks and offsets.
+    d = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     d = d.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = d.groupBy("__part").agg(F.count("*").alias("__n"))
     offsets = sizes.withColumn("__from", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
