@@ -90,3 +90,43 @@ def integration_correction(pulse: list[float], pulse_step: float, sample_step: f
     peak = max(bins, key=lambda k: (bins[k], -k))
     inside = sum(bins.get(k, 0.0) for k in range(peak - shift, peak - shift + width))
     return total_charge / inside if inside else float("nan")
+
+
+def smooth(w: Column, width: int) -> Column:
+    """Mean over `width` samples, forward and then backward, so that pulses stay in place; beyond the ends the edge sample repeats."""
+    before = width // 2
+
+    def pass_over(a: Column, sign: int) -> Column:
+        at = lambda i: a[F.greatest(F.lit(0), F.least(F.size(a) - 1, i))]
+        return F.transform(a, lambda _, i: sum((at(i + sign * (k - before)) for k in range(1, width)), at(i - sign * before)).cast("double") / width)
+
+    return let(pass_over(w, -1), lambda a: pass_over(a, 1)) if width > 1 else w
+
+
+def deconvolve(w: Column, baseline: Column, pole_zero: float, upsampling: int = 1) -> Column:
+    """w less its baseline and less pole_zero times the sample before, each sample then repeated `upsampling` times and smoothed."""
+    flat = F.transform(w, lambda x: x.cast("double") - baseline)
+    sharp = let(flat, lambda a: F.transform(a, lambda x, i: F.when(i == 0, 0.0).otherwise(x - pole_zero * F.try_element_at(a, F.greatest(i, F.lit(1))))))
+    if upsampling == 1:
+        return sharp
+    return let(F.flatten(F.transform(sharp, lambda x: F.array_repeat(x, upsampling))), lambda a: smooth(a, upsampling))
+
+
+def centroid(w: Column, peak: Column, limit: float) -> Column:
+    """Charge-weighted position of the samples about the peak that stay above limit * peak; the peak itself if that is negative."""
+
+    def within(t: Column) -> Column:
+        a, at = t["a"], t["at"]
+        low = F.array_max(F.transform(a, lambda x, i: F.when((i <= at) & ~(x > t["least"]), i)))
+        high = F.array_min(F.transform(a, lambda x, i: F.when((i > at) & ~(x > t["least"]), i)))
+
+        def over_run(b: Column) -> Column:
+            run = F.filter(F.transform(a, lambda x, i: F.struct(x.cast("double").alias("x"), i.alias("i"))), lambda p: (p["i"] > b["low"]) & (p["i"] < b["high"]))
+            sums = F.aggregate(run, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("m")), lambda s, p: F.struct((s["s"] + p["x"]).alias("s"), (s["m"] + p["x"] * p["i"]).alias("m")), lambda s: ratio(s["m"], s["s"]))
+            return F.coalesce(sums, at.cast("double"))
+
+        # a peak of 0 is not above its own limit and starts no run; what follows it may still be
+        bounds = F.struct(F.coalesce(low, F.lit(-1)).alias("low"), F.coalesce(high, F.size(a)).alias("high"))
+        return F.when(a[at] < 0, at.cast("double")).otherwise(let(bounds, over_run))
+
+    return let(F.struct(w.alias("a"), peak.alias("at")), lambda q: let(F.struct(q["a"].alias("a"), q["at"].alias("at"), (limit * q["a"][q["at"]]).alias("least")), within))

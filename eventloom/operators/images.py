@@ -407,6 +407,71 @@ def circle_fit(weights: Column, camera: Camera) -> Column:
     return let(sums, solve)
 
 
+def _adjugate(m: list[list[Column]]) -> list[list[Column]]:
+    """Of a symmetric 3 x 3 matrix, row by row the cross products of its rows."""
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    return [cross(m[1], m[2]), cross(m[2], m[0]), cross(m[0], m[1])]
+
+
+def _least_gradient_circle(c: Column) -> Column:
+    """struct(radius, x, y) from weighted sums about a centre.
+
+    Least fit . v / size . v over v, fit and size being quadratic forms: the least root of a cubic, which Newton's steps reach from 0 from
+    one side, and a cross product of two rows of the matrix that is singular there.
+    """
+    fit = [[c["rr"], c["rx"], c["ry"]], [c["rx"], c["xx"], c["xy"]], [c["ry"], c["xy"], c["yy"]]]
+    size = [[4 * c["vr"], 2 * c["vx"], 2 * c["vy"]], [2 * c["vx"], c["v"], F.lit(0.0)], [2 * c["vy"], F.lit(0.0), c["v"]]]
+    fa, sa = _adjugate(fit), _adjugate(size)
+    paired = lambda a, b: sum((a[i][j] * b[i][j] for i in range(3) for j in range(3)), F.lit(0.0))
+    first = lambda a, b: sum((a[0][j] * b[0][j] for j in range(3)), F.lit(0.0))
+    cubic = F.struct(first(fit, fa).alias("a"), paired(fa, size).alias("b"), paired(fit, sa).alias("c"), first(size, sa).alias("d"))
+
+    def root(p: Column) -> Column:
+        value = lambda t: p["a"] - t * (p["b"] - t * (p["c"] - t * p["d"]))
+        slope = lambda t: p["b"] - t * (2 * p["c"] - 3 * t * p["d"])
+        return F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(0.0), lambda t, _: t + F.coalesce(F.try_divide(value(t), slope(t)), F.lit(0.0)))
+
+    def circle(t: Column) -> Column:
+        rows = _adjugate([[fit[i][j] - t * size[i][j] for j in range(3)] for i in range(3)])
+        longest = F.array_max(F.array(*[F.struct((r[0] * r[0] + r[1] * r[1] + r[2] * r[2]).alias("n"), *[r[k].alias(f"e{k}") for k in range(3)]) for r in rows]))
+
+        def place(e: Column) -> Column:
+            a = F.when(e["e0"] * e["e0"] > 1e-20 * e["n"], e["e0"])
+            return let(F.struct((-e["e1"] / (2 * a)).alias("x"), (-e["e2"] / (2 * a)).alias("y")), lambda q: F.struct(F.sqrt(c["mr"] + q["x"] * q["x"] + q["y"] * q["y"]).alias("radius"), (q["x"] + c["cx"]).alias("x"), (q["y"] + c["cy"]).alias("y")))
+
+        return let(longest, place)
+
+    return let(let(cubic, root), circle)
+
+
+def taubin_circle_fit(weights: Column, camera: Camera) -> Column:
+    """struct(radius, x, y) of least sum((w (d^2 - r^2))^2) / sum(w d^2), d the distance of a pixel from the centre; nulls where pixels lie on a line.
+
+    The minimum is a small eigenproblem of weighted sums, all in built-in expressions; no search, no starting values.
+    """
+    pts = F.arrays_zip(numbers(camera.x).alias("x"), numbers(camera.y).alias("y"), weights.alias("w"))
+    add = lambda f: F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + f(p["x"], p["y"], F.coalesce(p["w"].cast("double"), F.lit(0.0))))
+    centre = F.struct(add(lambda x, y, w: w).alias("v"), add(lambda x, y, w: w * w).alias("w"), add(lambda x, y, w: w * w * x).alias("x"), add(lambda x, y, w: w * w * y).alias("y"))
+
+    def about(c: Column) -> Column:
+        cx, cy = F.try_divide(c["x"], c["w"]), F.try_divide(c["y"], c["w"])
+        square = lambda x, y: (x - cx) * (x - cx) + (y - cy) * (y - cy)
+        mr = F.try_divide(add(lambda x, y, w: w * w * square(x, y)), c["w"])
+
+        def rest(mr: Column) -> Column:
+            pair = lambda f: add(lambda x, y, w: w * w * f(x - cx, y - cy, square(x, y) - mr))
+            return F.struct(
+                c["v"].alias("v"), c["w"].alias("w"), cx.alias("cx"), cy.alias("cy"), mr.alias("mr"),
+                pair(lambda x, y, r: r * r).alias("rr"), pair(lambda x, y, r: r * x).alias("rx"), pair(lambda x, y, r: r * y).alias("ry"),
+                pair(lambda x, y, r: x * x).alias("xx"), pair(lambda x, y, r: x * y).alias("xy"), pair(lambda x, y, r: y * y).alias("yy"),
+                add(lambda x, y, w: w * square(x, y)).alias("vr"), add(lambda x, y, w: w * (x - cx)).alias("vx"), add(lambda x, y, w: w * (y - cy)).alias("vy"),
+            )
+
+        return let(mr, rest)
+
+    return let(let(centre, about), _least_gradient_circle)
+
+
 def ring_error(weights: Column, radius: Column, x: Column, y: Column, camera: Camera) -> Column:
     """Mean squared distance of the pixels from a ring, by weight; null without weight."""
     r = F.zip_with(numbers(camera.x), numbers(camera.y), lambda a, b: (F.hypot(x - a, y - b) - radius) ** 2)

@@ -34,16 +34,21 @@ def mean_and_std(value: Column, weight: Column, valid: Column) -> tuple[Column,
     return F.coalesce(F.try_divide(F.sum(w * x), F.sum(w)), nan), F.coalesce(F.sqrt(F.when(v.isNotNull(), F.greatest(v, F.lit(0.0)))), nan)
 
 
-def combine_mean(tel: DataFrame, event: list[str], value: str, tel_id: str, weight: Column | None = None, log: bool = False, valid: Column | None = None) -> DataFrame:
+def combine_mean(tel: DataFrame, event: list[str], value: str, tel_id: str, weight: Column | None = None, log: bool = False, valid: Column | None = None, unbiased: bool = False) -> DataFrame:
     """event, mean, std, n_valid, telescopes, is_valid. With `log`, mean and std are those of the logarithm, as factors.
 
-    Rows count if they are valid (by default: finite) and, with `log`, above zero; is_valid tells whether the mean is a finite number.
+    With `unbiased`, the variance is divided by W - sum(w^2) / W instead of W = sum(w), and std is NaN for a single row. Rows count if they are valid (by default: finite) and, with `log`, above zero; is_valid tells whether the mean is a finite number.
     """
     ok = finite(F.col(value).cast("double")) if valid is None else F.coalesce(valid, F.lit(False))
     if log:
         ok = ok & F.coalesce(F.col(value) > 0, F.lit(False))
     x = F.ln(F.when(F.col(value) > 0, F.col(value).cast("double"))) if log else F.col(value)
-    m, s = mean_and_std(x, F.lit(1.0) if weight is None else weight, ok)
+    w = F.lit(1.0) if weight is None else weight
+    m, s = mean_and_std(x, w, ok)
+    if unbiased:
+        used = F.when(ok & x.isNotNull(), w.cast("double"))
+        share = F.try_divide(F.sum(used * used), F.sum(used) ** 2)
+        s = F.when((F.count(used) > 1) & (share < 1), s / F.sqrt(1 - share)).otherwise(F.lit(float("nan")))
     out = tel.groupBy(*event).agg(m.alias("mean"), s.alias("std"), F.count_if(ok).alias("n_valid"), F.array_sort(F.collect_set(F.when(ok, F.col(tel_id)))).alias("telescopes"))
     if log:
         out = out.withColumns({"mean": F.exp("mean"), "std": F.exp("std")})
