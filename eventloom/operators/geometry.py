@@ -21,7 +21,7 @@ def nearest_point_2d(x: Column, y: Column, psi: Column) -> tuple[Column, Column]
     a, b, d = F.sum(s * s), F.sum(-s * c), F.sum(c * c)
     u, v = F.sum(s * s * x - s * c * y), F.sum(c * c * y - s * c * x)
     det = a * d - b * b
-    det = F.when(F.abs(det) > 1e-12, det)
+    det = F.when(F.abs(det) > 1e-15, det)
     return (d * u - b * v) / det, (a * v - b * u) / det
 
 
@@ -33,7 +33,7 @@ def nearest_point_3d(n: tuple[Column, Column, Column], p: tuple[Column, Column,
     minor = lambda a, i, j, k, l: a[i][k] * a[j][l] - a[i][l] * a[j][k]
     det3 = lambda a: a[0][0] * minor(a, 1, 2, 1, 2) - a[0][1] * minor(a, 1, 2, 0, 2) + a[0][2] * minor(a, 1, 2, 0, 1)
     det = det3(m)
-    det = F.when(F.abs(det) > 1e-12, det)
+    det = F.when(F.abs(det) > 1e-15, det)
     return tuple(det3([[r[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]) / det for k in range(3))
 
 
