@@ -52,7 +52,7 @@ def _size_query(name: str, size: int, shift: int, last: str):
     k = f"(CASE WHEN n >= {size} THEN (n - {size}) // {step} + 1 ELSE 0 END)"
     end = f"(CASE WHEN {k} > 0 THEN ({k} - 1) * {step} + {size} ELSE 0 END)"
     extra = {"skip": "false", "truncate": f"n > {end} AND i >= {k} * {step}", "overlap": f"n > {end} AND i >= n - {size}"}[last]
-    sql = f"""WITH {_RN}, c AS (SELECT user_id, value, unnest(range(100)) AS chunk, i, n FROM n),
+    sql = f"""WITH {_RN}, c AS (SELECT user_id, value, unnest(range({k} + 1)) AS chunk, i, n FROM n),
     m AS (SELECT user_id, value, chunk FROM c WHERE (chunk < {k} AND i >= chunk * {step} AND i < chunk * {step} + {size}) OR (chunk = {k} AND {extra}))
     SELECT user_id, chunk, {_STAT} FROM m GROUP BY 1, 2"""
 
@@ -72,7 +72,7 @@ def _time_query(name: str, hours: int, shift: int, last: str):
     k = f"greatest(ceil((total - {dur}) / {step}), 0)"
     extra = {"skip": "false", "overlap": f"x >= greatest(total - {dur}, 0)", "truncate": f"x >= {k} * {step}"}[last]
     sql = f"""WITH t AS (SELECT user_id, value, epoch_us(ts) / 1e6 - min(epoch_us(ts)) OVER (PARTITION BY user_id) / 1e6 AS x FROM events), w AS (SELECT *, max(x) OVER (PARTITION BY user_id) AS total FROM t),
-    c AS (SELECT *, unnest(range(200)) AS chunk FROM w), m AS (SELECT user_id, value, chunk FROM c WHERE (chunk < {k} AND x >= chunk * {step} AND x <= chunk * {step} + {dur}) OR (chunk = {k} AND {extra}))
+    c AS (SELECT *, unnest(range({k}::BIGINT + 1)) AS chunk FROM w), m AS (SELECT user_id, value, chunk FROM c WHERE (chunk < {k} AND x >= chunk * {step} AND x <= chunk * {step} + {dur}) OR (chunk = {k} AND {extra}))
     SELECT user_id, chunk, {_STAT} FROM m GROUP BY 1, 2"""
 
     @query(name, sql)
@@ -141,7 +141,7 @@ def valid_chunks(spark, d):
 
 @query("second_pass", f"""WITH {_RN}, f AS (SELECT user_id, i // 10 AS chunk FROM n GROUP BY 1, 2 HAVING max(value) > 300), a AS (SELECT DISTINCT user_id, chunk + unnest([-1, 0, 1]) AS chunk FROM f),
 r AS (SELECT n.user_id, ts, event_id, value FROM n JOIN a ON a.user_id = n.user_id AND a.chunk = n.i // 10), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS j, count(*) OVER (PARTITION BY user_id) AS m FROM r),
-c AS (SELECT *, unnest(range(100)) AS chunk FROM o) SELECT user_id, chunk, {_STAT} FROM c WHERE m >= 10 AND chunk < (m - 10) // 5 + 1 AND j >= chunk * 5 AND j < chunk * 5 + 10 GROUP BY 1, 2""")
+c AS (SELECT *, unnest(range((m - 10) // 5 + 1)) AS chunk FROM o WHERE m >= 10) SELECT user_id, chunk, {_STAT} FROM c WHERE m >= 10 AND chunk < (m - 10) // 5 + 1 AND j >= chunk * 5 AND j < chunk * 5 + 10 GROUP BY 1, 2""")
 def second_pass(spark, d):
     s = series(spark, d)
     first = chunks.size_chunks(s, ["user_id"], ["ts", "event_id"], 10)
