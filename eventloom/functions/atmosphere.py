@@ -6,11 +6,15 @@ Heights are metres, densities g/cm3, column densities g/cm2, angles radians.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventloom.functions.common import let
+
 
 def _nan() -> Column:
     return F.lit(math.nan)
@@ -79,3 +83,49 @@ class FiveLayers(_Profile):
             _, a, b, c = self.layers[i]
             out = F.when(x >= self._at(self.layers[i + 1][0], i + 1), -c * F.ln((x - a) / b)).otherwise(out)
         return F.when(x >= self._at(self.layers[0][0], 0), _nan()).otherwise(out)
+
+
+def _spline(x: Column, knots: Sequence[float], values: Sequence[float], below: float, above: float) -> Column:
+    """Cubic spline through the knots, its third derivative continuous at the second and the last but one; fills beyond the ends."""
+    order = np.argsort(knots)
+    k, y = np.asarray(knots, dtype=float)[order], np.asarray(values, dtype=float)[order]
+    h, n = np.diff(k), len(k)
+    if n < 4 or not (h > 0).all():
+        raise ValueError("a cubic needs at least four different points")
+    lhs, rhs = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        lhs[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        rhs[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    lhs[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    lhs[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    m = np.linalg.solve(lhs, rhs)
+    slopes = np.diff(y) / h - h * (2 * m[:-1] + m[1:]) / 6
+    rows = zip(k[:-1], y[:-1], slopes, m[:-1] / 2, np.diff(m) / (6 * h), strict=True)
+    pieces = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in zip("xabcd", r, strict=True)]) for r in rows])
+    cubic = lambda p: p["a"] + (x - p["x"]) * (p["b"] + (x - p["x"]) * (p["c"] + (x - p["x"]) * p["d"]))
+    inside = let(F.try_element_at(F.filter(pieces, lambda p: p["x"] <= x), F.lit(-1)), cubic)
+    return F.when(F.isnan(x), _nan()).when(x < float(k[0]), F.lit(below)).when(x > float(k[-1]), F.lit(above)).otherwise(inside)
+
+
+class Table(_Profile):
+    """A table of some tens of heights, densities and column densities, cubic between them in the logarithms of both.
+
+    Rows with a negative height or without density or column density are left out. Below the table density and column
+    density are NaN, above it 0; heights are infinite for less column density than the table has and NaN for more.
+    """
+
+    def __init__(self, height: Sequence[float], density: Sequence[float], column_density: Sequence[float]):
+        rows = [r for r in zip(height, density, column_density, strict=True) if r[0] >= 0 and r[1] > 0 and r[2] > 0]
+        self.km = [r[0] / 1000.0 for r in rows]
+        self.log_density = [math.log10(r[1]) for r in rows]
+        self.log_column = [math.log10(r[2]) for r in rows]
+
+    def density(self, height: Column) -> Column:
+        return F.pow(F.lit(10.0), _spline(height / 1000.0, self.km, self.log_density, math.nan, -math.inf))
+
+    def overburden(self, height: Column) -> Column:
+        return F.pow(F.lit(10.0), _spline(height / 1000.0, self.km, self.log_column, math.nan, -math.inf))
+
+    def height_from_overburden(self, x: Column) -> Column:
+        inside = _spline(F.log10(x.cast("double")), self.log_column, self.km, math.inf, math.nan) * 1000.0
+        return F.when(x > 0, inside).when(x == 0, F.lit(math.inf)).when(x < 0, _nan())

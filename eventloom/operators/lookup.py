@@ -22,6 +22,20 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time
     return d.select("__l.*", *[F.col(f"__v.{c}").alias(f"{c}_asof" if c in left.columns else c) for c in names])
 
 
+def asof_valid(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, values: list[str], tie: list[str], tolerance: Column, strict: bool = False) -> DataFrame:
+    """asof, but a key's first right row also counts for `tolerance` (a number or an interval, as the times are) before its time.
+
+    Left rows before that, or with no right row, have nulls; strict raises an error for them.
+    """
+    first = right.groupBy(*by).agg(F.min(right_time).alias("__first"))
+    r = right.join(first, by).withColumn("__from", F.when(F.col(right_time) == F.col("__first"), F.col(right_time) - tolerance).otherwise(F.col(right_time)))
+    out = asof(left, r, by, time, "__from", [right_time, *values], tie)
+    if strict:
+        out = out.withColumn("__from", F.when(F.col("__from").isNull(), F.raise_error(F.concat(F.lit("no values valid at "), F.col(time).cast("string")))).otherwise(F.col("__from")))
+        out = out.where("__from is not null")  # the check must not be pruned with its column
+    return out.drop("__from")
+
+
 def nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, value: str) -> DataFrame:
     """Each left row with the value of the right row nearest in time; the later of two equally near ones."""
     both = right.select(*by, F.col(right_time).alias("__t"), F.struct(F.col(right_time).alias("t"), F.col(value).alias("v")).alias("__v"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__l"))
