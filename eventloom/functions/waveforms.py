@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,17 +50,21 @@ def global_peak(waveforms: Column, width: int, shift: int) -> Column:
     return let(argmax(mean_wave), lambda p: F.transform(waveforms, lambda w: around(w, p, width, shift)))
 
 
-def neighbor_peak(waveforms: Column, neighbors: Column, width: int, shift: int, local_weight: int = 0) -> Column:
-    """One struct per pixel, around the peak of its neighbours' summed waveform (its own counted local_weight times)."""
+def neighbor_peak_index(waveforms: Column, neighbors: Column, local_weight: int = 0) -> Column:
+    """Per pixel the peak of its neighbours' summed waveform (its own counted local_weight times)."""
     n = F.size(waveforms[0])
 
     def one(w: Column, i: Column) -> Column:
-        near = F.transform(F.sequence(F.lit(0), n - 1), lambda s: w[s].cast("double") * local_weight + F.aggregate(neighbors[i], F.lit(0.0), lambda acc, j: acc + waveforms[j][s].cast("double")))
-        return let(argmax(near), lambda p: around(w, p, width, shift))
+        return argmax(F.transform(F.sequence(F.lit(0), n - 1), lambda s: w[s].cast("double") * local_weight + F.aggregate(neighbors[i], F.lit(0.0), lambda acc, j: acc + waveforms[j][s].cast("double"))))
 
     return F.transform(waveforms, one)
 
 
+def neighbor_peak(waveforms: Column, neighbors: Column, width: int, shift: int, local_weight: int = 0) -> Column:
+    """One struct per pixel, around the peak of its neighbours' summed waveform."""
+    return let(neighbor_peak_index(waveforms, neighbors, local_weight), lambda p: F.transform(waveforms, lambda w, i: around(w, p[i], width, shift)))
+
+
 def sliding_window(w: Column, width: int) -> Column:
     """struct(charge, start): the first window of `width` samples with the largest sum."""
     sums = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: total(F.slice(w, i + 1, width)))
@@ -130,3 +136,34 @@ def centroid(w: Column, peak: Column, limit: float) -> Column:
         return F.when(a[at] < 0, at.cast("double")).otherwise(let(bounds, over_run))
 
     return let(F.struct(w.alias("a"), peak.alias("at")), lambda q: let(F.struct(q["a"].alias("a"), q["at"].alias("at"), (limit * q["a"][q["at"]]).alias("least")), within))
+
+
+def sharpened_peak(waveforms: Column, neighbors: Column, width: int, shift: int, pole_zero: float, upsampling: int, rate: float, local_weight: int = 0, clipping: float = 0.0, gain: float = 0.0, delay: float = 0.0, lead: float = 0.0, limit: float | None = None) -> Column:
+    """struct(charge, peak_time) per pixel around the peak of its neighbours' deconvolved waveforms.
+
+    A finite clipping c > 0 turns what the neighbours add from x into (x / c) / (1 + |x / c|), and 0 where that is negative. With a limit
+    the time is the centroid of the rising edge (the waveform deconvolved with 1) near the peak less `lead` samples. A gain or
+    delay of 0 is none. rate: samples per nanosecond before upsampling.
+    """
+
+    def sharp(by: float) -> Column:
+        return F.transform(waveforms, lambda w: deconvolve(w, F.lit(0.0), by, upsampling))
+
+    def soft(x: Column) -> Column:
+        return F.greatest(x / clipping / (1 + F.abs(x / clipping)), F.lit(0.0))
+
+    def over(q: Column) -> Column:
+        seen = q["a"] if clipping == 0 or math.isinf(clipping) else F.transform(q["a"], lambda w: F.transform(w, soft))
+
+        def one(w: Column, i: Column, peaks: Column) -> Column:
+            got = around(w, peaks[i], width, shift, rate * upsampling)
+            time = got["peak_time"]
+            if limit is not None:
+                at = F.least(F.greatest(F.rint(peaks[i] - lead).cast("int"), F.lit(0)), F.size(w) - 1)
+                time = centroid(q["edge"][i], at, limit) / (rate * upsampling)
+            return F.struct((got["charge"] / gain if gain else got["charge"]).alias("charge"), (time - delay).alias("peak_time"))
+
+        return let(seen, lambda v: let(neighbor_peak_index(v, neighbors, local_weight), lambda p: F.transform(q["a"], lambda w, i: one(w, i, p))))
+
+    parts = [sharp(pole_zero).alias("a")] + ([sharp(1.0).alias("edge")] if limit is not None else [])
+    return let(F.struct(*parts), over)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from eventloom.functions import atmosphere, optics
-from eventloom.operators import lookup, response, response_fov
+from eventloom.functions import atmosphere, muon, optics, waveforms
+from eventloom.functions.common import nested
+from eventloom.operators import images, instrument, lookup, response, response_fov
 from eventloom.plans.catalogue import query
 from eventloom.plans.event_queries import r6, s6
 from eventloom.plans.series_queries import _EV, _REF, _sides, EDGES, scored
@@ -114,3 +117,68 @@ SELECT q.event_id, x.event_id AS ref_id, x.value AS ref_value FROM q ASOF LEFT J
 def asof_tolerant(spark, d):
     left, right = _sides(spark, d)
     return lookup.asof_valid(left, right, ["user_id"], "ts", "ref_ts", ["ref_id", "ref_value"], ["ref_id"], F.expr("INTERVAL 6 HOURS")).select("event_id", "ref_id", "ref_value")
+
+
+# -- muons: paths over the mirror, light in the pixels -------------------------------------------------------------------------
+
+_CHORD = "CASE WHEN 1 - ({1} * sin(phi)) ** 2 < 0 THEN 0 WHEN {1} <= 1 THEN {0} * (sqrt(1 - ({1} * sin(phi)) ** 2) + {1} * cos(phi)) WHEN abs(sin(phi)) * {1} < 1 AND cos(phi) > 0 THEN 2 * {0} * sqrt(1 - ({1} * sin(phi)) ** 2) ELSE 0 END"
+
+
+@query("muon_mirror_path", f"WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity * 0.4 AS r, l_orderkey::DOUBLE AS phi FROM lineitem) SELECT l_orderkey, l_linenumber, {s6(f'({_CHORD.format(12, chr(40) + "r / 12" + chr(41))}) - ({_CHORD.format(2, chr(40) + "r / 2" + chr(41))})')} AS path FROM t")
+def muon_mirror_path(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(muon.mirror_path(F.col("l_quantity") * 0.4, F.col("l_orderkey").cast("double"), 12.0, 2.0)).alias("path"))
+
+
+_SQUARE = images.Camera.rectangular(8, 8, -0.02, 0.02)
+
+
+@query("muon_pixel_light")
+def muon_pixel_light(spark, d):
+    """Every order is a ring; the light of all pixels of a small camera."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey").cast("double")
+    light = muon.pixel_light(_SQUARE.x, _SQUARE.y, F.col("o_totalprice") / 1e5, k, F.sin(k) / 500, F.cos(k) / 500, 0.012 + F.sin(k) / 1000, F.lit(0.001), 0.04 / 7, 12.0, 2.0, shape=muon.CIRCLE_IN_SQUARE)
+    return o.select("o_orderkey", F.transform(light, r6).alias("light"))
+
+
+@query("waveform_sharpened")
+def waveform_sharpened(spark, d):
+    """Every vector is four pixels of 16 samples in a row."""
+    w = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(F.slice("embedding", i * 16 + 1, F.lit(16)), lambda x: x.cast("double")))
+    got = waveforms.sharpened_peak(F.col("w"), nested([(1,), (0, 2), (1, 3), (2,)]), 7, 3, 0.7, 4, 0.25, local_weight=1, clipping=0.1, gain=0.8, delay=1.5, lead=2.0, limit=0.1)
+    rows = table(spark, d, "embeddings").where("size(embedding) = 64").select("vec_id", w.alias("w")).select("vec_id", F.posexplode(got).alias("pixel", "g"))
+    return rows.select("vec_id", "pixel", r6(F.col("g.charge")).alias("charge"), r6(F.col("g.peak_time")).alias("peak_time"))
+
+
+# -- the array: suppliers are telescopes, their nations types; customers are stars ------------------------------------------------
+
+
+def _array(spark, d):
+    k = F.col("s_suppkey").cast("double")
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("tel_id"), F.col("s_nationkey").cast("string").alias("type"), (F.sin(k) * F.col("s_acctbal")).alias("x"), (F.cos(k) * F.col("s_acctbal") / 2).alias("y"))
+
+
+@query("array_footprint", f"SELECT {s6('max((sin(s_suppkey) * s_acctbal) ** 2 + (cos(s_suppkey) * s_acctbal / 2) ** 2) * pi() / 1000000')} AS footprint FROM supplier")
+def array_footprint(spark, d):
+    return instrument.footprint(_array(spark, d)).select(r6(F.col("footprint")).alias("footprint"))
+
+
+@query("multiplicity_by_type", "SELECT l_orderkey AS event_id, s_nationkey::VARCHAR AS type, count(DISTINCT l_suppkey) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2")
+def multiplicity_by_type(spark, d):
+    triggers = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("tel_id"))
+    return instrument.multiplicity_by_type(triggers, _array(spark, d), ["event_id"])
+
+
+_STAR = "sin(radians(dec)) * sin(radians(20)) + cos(radians(dec)) * cos(radians(20)) * cos(radians(ra - 83))"
+
+
+@query("select_stars", f"WITH s AS (SELECT c_custkey, c_acctbal / 1000 AS mag, (c_custkey * 7.3) % 360 AS ra, sin(c_custkey) * 80 AS dec FROM customer) SELECT c_custkey, {s6(f'degrees(acos(least(1, greatest(-1, {_STAR}))))')} AS separation FROM s WHERE mag < 6 AND degrees(acos(least(1, greatest(-1, {_STAR})))) < 40")
+def select_stars(spark, d):
+    k = F.col("c_custkey")
+    stars = table(spark, d, "customer").select(k, (F.col("c_acctbal") / 1000).alias("Vmag"), (k * 7.3 % 360).alias("ra"), (F.sin(k.cast("double")) * 80).alias("dec"))
+    return instrument.select_stars(stars, brighter=6.0, lon=83.0, lat=20.0, radius=40.0).select("c_custkey", r6(F.col("separation")).alias("separation"))
+
+
+@query("pixel_at_place", "WITH t AS (SELECT l_orderkey, l_linenumber, sin(l_orderkey) * 1.3 AS x, cos(l_orderkey + l_linenumber) * 1.3 AS y FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN abs(x) < 8 / 7.0 AND abs(y) < 8 / 7.0 THEN (floor((y + 8 / 7.0) * 3.5) * 8 + floor((x + 8 / 7.0) * 3.5))::INT END AS pixel FROM t")
+def pixel_at_place(spark, d):
+    k, n = F.col("l_orderkey").cast("double"), F.col("l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", instrument.pixel_at(F.sin(k) * 1.3, F.cos(k + n) * 1.3, images.Camera.rectangular(8, 8), math.sqrt(2) / 7).alias("pixel"))

@@ -5,8 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.functions import atmosphere, optics
-from eventloom.operators import lookup, response_fov
+from eventloom.functions import atmosphere, muon, optics, waveforms
+from eventloom.functions.common import nested
+from eventloom.operators import images, instrument, lookup, response_fov
 
 
 def test_spline_keeps_points_and_ends(spark):
@@ -71,3 +72,55 @@ def test_early_values(spark):
     assert strict(left.where("k = 'a' and t >= 9")).count() == 4
     with pytest.raises(Exception, match="no values valid at 8.9"):
         strict(left.where("k = 'a'")).collect()
+
+
+def _path(radius, rho, phi):
+    inside = 1 - (rho * math.sin(phi)) ** 2
+    if inside < 0:
+        return 0.0
+    if rho <= 1:
+        return radius * (math.sqrt(inside) + rho * math.cos(phi))
+    return 2 * radius * math.sqrt(inside) if abs(math.sin(phi)) < 1 / rho and math.cos(phi) > 0 else 0.0
+
+
+@pytest.mark.parametrize("impact", [0.5, 3.0, 15.0])
+def test_light_of_a_ring(spark, impact):
+    """Each pixel against the same sums in plain Python, with the library's error function."""
+    camera, pixel, phi, cx, cy, radius, width = images.Camera.rectangular(9, 9, -0.02, 0.02), 0.005, 0.7, 0.001, -0.002, 0.0131, 0.0012
+    one = muon.pixel_light(camera.x, camera.y, F.lit(impact), F.lit(phi), F.lit(cx), F.lit(cy), F.lit(radius), F.lit(width), pixel, 12.0, 2.0)
+    got = spark.range(1).select(one).first()[0]
+    n = int(2 * math.pi * radius / pixel) * 3
+    raw = [_path(12.0, impact / 12, -math.pi + 2 * math.pi * i / (n - 1) - phi) - _path(2.0, impact / 2, -math.pi + 2 * math.pi * i / (n - 1) - phi) for i in range(n)]
+    smooth = [(raw[i - 1] + raw[i] + raw[(i + 1) % n]) / 3 for i in range(n)]
+    for x, y, g in zip(camera.x, camera.y, got, strict=True):
+        r, at = math.hypot(x - cx, y - cy), (math.atan2(y - cy, x - cx) + math.pi) / (2 * math.pi) * (n - 1)
+        low = min(int(at), n - 2)
+        along = smooth[low] + (smooth[low + 1] - smooth[low]) * (at - low)
+        part = [math.erf((r + s * pixel / 2 - radius) / math.sqrt(2) / width) / 2 for s in (1, -1)]
+        want = along * (part[0] - part[1]) / 137.035999 * (1 / 300e-9 - 1 / 600e-9) * pixel / radius * math.sin(2 * radius) / 2 * muon.CIRCLE_IN_HEXAGON
+        assert g == pytest.approx(want, rel=1e-4, abs=1e-3)
+    small = muon.pixel_light(camera.x, camera.y, F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0001), F.lit(width), pixel, 12.0)
+    assert spark.range(1).select(small).first()[0] is None
+
+
+@pytest.mark.parametrize("clipping", [0.0, 0.5])
+def test_sharpened_peak(spark, clipping):
+    """A decaying pulse becomes a single sample; a pixel takes the peak its neighbours show."""
+    pulse = [0.0] * 4 + [8 * 0.5**i for i in range(12)]
+    late = [0.0] * 9 + [4 * 0.5**i for i in range(7)]
+    d = spark.createDataFrame([([pulse, late, [0.0] * 16],)], "w array<array<double>>")
+    got = d.select(waveforms.sharpened_peak(F.col("w"), nested([(0,), (1,), (0,)]), 3, 1, 0.5, 1, 2.0, clipping=clipping, gain=2.0, delay=0.5)).first()[0]
+    assert [tuple(r) for r in got] == [pytest.approx(v) for v in ((4.0, 4 / 2 - 0.5), (2.0, 9 / 2 - 0.5), (0.0, 4 / 2 - 0.5))]
+    edge = d.select(waveforms.sharpened_peak(F.col("w"), nested([(0,), (1,), (0,)]), 3, 1, 0.5, 1, 2.0, clipping=clipping, limit=0.1)).first()[0]
+    assert [r.peak_time for r in edge] == pytest.approx([2.0, 4.5, 2.0])
+
+
+def test_array_and_stars_refuse(spark):
+    t = spark.createDataFrame([(1, "L", 3000.0, 4000.0), (2, "M", 0.0, 10.0)], "tel_id int, type string, x double, y double")
+    assert [r.tel_id for r in instrument.of_type(t, "L").collect()] == [1] and instrument.select_subarray(t, [2]).count() == 1
+    assert instrument.footprint(t).first()[0] == pytest.approx(25 * math.pi) and instrument.footprint(t.limit(0)).first()[0] is None
+    for wrong in (lambda: instrument.of_type(t, "S"), lambda: instrument.select_subarray(t, [2, 3]), lambda: instrument.select_stars(t, brighter=1.0), lambda: instrument.select_stars(t, radius=1.0)):
+        with pytest.raises(ValueError):
+            wrong()
+    places = spark.createDataFrame([(0.0, 0.0), (-1.49, 1.49), (-1.51, 0.0), (9.0, 0.0), (None, 0.0)], "x double, y double").coalesce(1)
+    assert [r[0] for r in places.select(instrument.pixel_at(F.col("x"), F.col("y"), images.Camera.rectangular(3, 3), math.sqrt(0.5))).collect()] == [4, 6, None, None, None]
