@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import covertree, html, jaccard, mixing, packing, pii, quality, ranking, sharding, warc
+from eventloom.llm import conversation, covertree, divergence, html, jaccard, mixing, packing, pii, quality, ranking, sharding, tokencount, warc
 from eventloom.runtime import table
 
 
@@ -60,6 +60,18 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.audit(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
 #: In the order of their numbers.
 QUERIES = (
     op1_cover_tree,
@@ -72,6 +84,9 @@ QUERIES = (
     op8_html_extraction,
     op9_warc_archives,
     op10_quality_ranking,
+    op11_conversation_repair,
+    op12_token_counts,
+    op13_source_divergence,
 )
 
 
@@ -80,4 +95,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.oracle_sql()}
+    return {
+        "op6_quality_rules": quality.oracle_sql(),
+        "op11_conversation_repair": conversation.oracle_sql(),
+        "op13_source_divergence": divergence.oracle_sql(),
+    }
