@@ -3,11 +3,11 @@
 Every identifier found is a protected entity. Co-occurrence over whole texts estimates how strongly a term reveals it:
 PMI(e, t) = log2(N n_et / (n_e n_t)) against the entity's own information IC(e) = log2(N / n_e), where n_et, n_e and
 n_t count documents and N is all of them. A term whose PMI
-reaches the share `threshold` of IC for some entity discloses it, unless chance alone would bring the two together as often:
-the tail of the hypergeometric distribution over different texts, so that rare entities count where the corpus is large
-enough to tell. It is generalised to its kind wherever it stands, and
-removed where the share reaches `removal`. Counts cover all documents. Candidate terms reach the tasks as a bitmap of
-fixed size that only leaves terms out early; an exact join follows.
+reaches the share `threshold` of IC for some entity discloses it, if the two meet in at least two different texts and chance
+would bring that about in at most `level` of all cases, divided by the number of pairs that are tried: one text with an identifier
+tells nothing about the words beside it. Wherever it stands, a disclosing term climbs a ladder: its kind and length, its kind alone; it becomes the
+first rung that discloses none of its entities by the same measure, and is removed where both do. Counts cover all documents. Candidate
+terms reach the tasks as a bitmap of fixed size that only leaves terms out early; an exact join follows.
 """
 
 from __future__ import annotations
@@ -96,6 +96,22 @@ def _bag(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
     return {t for _, _, t in _terms(text, spans)} if spans else {t.lower() for t in set(_TERM.findall(text))}
 
 
+class _Rungs(dict):
+    """The narrow rung of each term: its kind and length; the wide rung is the kind alone."""
+
+    def __missing__(self, term: str) -> str:
+        if len(self) > 1_000_000:
+            self.clear()
+        kind = "word" if term.isalpha() else "number" if term.isdecimal() else "code"
+        size = "short" if len(term) < 4 else "middling" if len(term) < 8 else "long"
+        self[term] = rung = f"<{size} {kind}>"
+        return rung
+
+
+def wide(rung: Column) -> Column:
+    return F.concat(F.lit("<"), F.element_at(F.split(rung, " "), 2))
+
+
 def _entity(text: str, kind: int, start: int, end: int) -> str:
     value = text[start:end]
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else _NOT_DIGIT.sub('', value)}"
@@ -154,48 +170,73 @@ def chance(n: int, n_e: int, n_t: int, n_et: int) -> float:
     return min(p, 1.0)
 
 
-def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.95, removal: float = 1.0, level: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """(terms, places): the terms that give an entity away, with the share of its information and whether to remove
-    them; and every place (doc, key, start, end, term) of such a term.
+def _scan(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, key, base, entities, terms, rungs) of every row: its identifiers; for rows with any, their values, and the terms and rungs around them."""
 
-    `level`: chance of meeting as often without regard to each other, above which a pair is no evidence. It counts
-    different texts, so copies are no evidence, and is not divided by the number of pairs: a term missed costs more than a
-    term too many. A corpus without identifiers has no such terms. `key` is the hash of the text: equal rows share places.
+    def scan(batches):
+        rungs = _Rungs()
+        for b in filter(len, batches):
+            base, entities, terms, kinds = [], [], [], []
+            for t in b["t"]:
+                spans = find_base(t)
+                base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
+                bag = sorted(_bag(t, spans)) if spans else None
+                entities.append(sorted({_entity(t, kind, start, end) for start, kind, end in spans}) if spans else None)
+                terms.append(" ".join(bag) if spans else None)
+                kinds.append(sorted(set(map(rungs.__getitem__, bag))) if spans else None)
+            yield pd.DataFrame({"doc": b["doc"].astype("Int64"), "key": b["key"], "base": base, "entities": entities, "terms": terms, "rungs": kinds})
+
+    schema = "doc long, key long, base array<struct<start:long,kind:int,end:long>>, entities array<string>, terms string, rungs array<string>"
+    return cut(_input(docs, doc, text).mapInPandas(scan, schema))
+
+
+def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.95, level: float = 0.01, scanned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(terms, places): the terms that give an entity away, with the share of its information and the mark that replaces
+    them (empty: removed); and every place (doc, key, start, end, term) of such a term.
+
+    `level`: chance of meeting as often in some pair, if no pair had regard to each other. It counts
+    different texts, so copies are no evidence. A corpus without identifiers has no such terms. `key` is the hash of the text: equal rows share
+    places; equal shares need no order; an empty table gives two empty ones. `scanned`: what `_scan` gave for docs.
     """
     d = _input(docs, doc, text)
-
-    def mentions(batches):
-        for b in filter(len, batches):
-            rows = []
-            for key, t in zip(b["key"], b["t"], strict=True):
-                if spans := find_base(t):
-                    rows.append((key, sorted({_entity(t, kind, start, end) for start, kind, end in spans}), " ".join(sorted(_bag(t, spans)))))
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "entities", "terms"])
-
+    scanned = _scan(docs, doc, text) if scanned is None else scanned
     # One row for each different text with identifiers, and how many documents have it.
-    seen = d.select("key", "t").mapInPandas(mentions, "key long, entities array<string>, terms string")
-    seen = cut(seen.groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
+    seen = scanned.where("entities is not null").groupBy("key").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("entities", "terms", "rungs")))
     each = seen.select("key", "n", F.explode("entities").alias("entity"))
-    n_e = each.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("e_texts"))
+    n_e = cut(each.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("e_texts")))
+    tried = seen.agg(F.sum(F.size("entities").cast("double") * F.size(F.split("terms", " "))).alias("n")).first()["n"] or 1.0
+    # Only entities of several texts can show anything.
+    each = each.join(n_e.where("e_texts > 1").select("entity"), "entity")
+    seen = cut(seen.join(each.select("key").distinct(), "key", "left_semi"))
     words = F.explode(F.split("terms", " ")).alias("term")
-    sent = _bitmap(seen.select(words).where("term <> ''"))
+    several = seen.select("key", words).where("term <> ''").groupBy("term").agg(F.count("*").alias("texts")).where("texts > 1")
+    sent = _bitmap(several)
 
     def frequencies(batches):
-        bitmap = sent.value
+        bitmap, rungs = sent.value, _Rungs()
         for b in filter(len, batches):
+            if bitmap is None:
+                continue
             n: Counter = Counter()
-            for t in b["t"] if bitmap is not None else ():
-                n.update(_bag(t, find_base(t)))
-            known = _known(bitmap, list(n)) if n else ()
+            for t in b["t"]:
+                bag = _bag(t, find_base(t))
+                n.update(bag)
+                narrow = set(map(rungs.__getitem__, bag))
+                n.update(narrow)
+                n.update({f"<{x.partition(' ')[2]}" for x in narrow})
+            known = [*_known(bitmap, list(n)), *(x for x in n if x[0] == "<")]
             if known:
-                yield pd.DataFrame({"term": list(known), "n": [n[t] for t in known]})
+                yield pd.DataFrame({"term": known, "n": [n[t] for t in known]})
 
     @F.pandas_udf("double")
     def by_chance(n: pd.Series, n_e: pd.Series, n_t: pd.Series, n_et: pd.Series) -> pd.Series:
         return pd.Series([chance(*x) for x in zip(n.tolist(), n_e.tolist(), n_t.tolist(), n_et.tolist(), strict=True)], dtype=float)
 
-    n_t = d.select("t").mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    @F.pandas_udf("string")
+    def narrow(term: pd.Series) -> pd.Series:
+        return term.map(_Rungs())
+
+    n_t = cut(d.select("t").mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")))
     total = max(docs.count(), 2)
     n = F.lit(float(total))
     pmi = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
@@ -204,11 +245,19 @@ def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", t
     bound = F.pow(n, F.lit(1 - threshold)) * F.pow(F.col("most"), F.lit(threshold)) * 1.001
     most = each.join(n_e, "entity").groupBy("key").agg(F.max("n_e").alias("most"))
     rare = seen.join(most, "key").select("key", bound.alias("bound"), words).where("term <> ''").join(n_t, "term").where("n_t <= bound")
-    n_et = rare.join(each, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"), F.first("n_t").alias("n_t"))
-    pairs = n_et.join(n_e, "entity").withColumn("share", share).where(F.col("share") >= threshold)
+    n_et = rare.join(several.select("term"), "term", "left_semi").join(each, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"), F.first("n_t").alias("n_t"))
+    pairs = n_et.where("texts > 1").join(n_e, "entity").withColumn("share", share).where(F.col("share") >= threshold)
     copies = F.col("n_et") - F.col("texts")
-    pairs = pairs.where(by_chance(F.lit(total) - copies, "e_texts", F.col("n_t") - copies, "texts") <= level)
-    terms = cut(pairs.groupBy("term").agg(F.max("share").alias("share")).withColumn("remove", F.col("share") >= removal))
+    pairs = pairs.where(by_chance(F.lit(total) - copies, "e_texts", F.col("n_t") - copies, "texts") <= level / tried)
+    pairs = cut(pairs.select("entity", "term", "share", narrow("term").alias("narrow")))
+    # How much each rung tells of each entity; rungs are a dozen.
+    kinds = seen.select("key", "rungs", F.transform("rungs", wide).alias("w")).select("key", F.explode(F.array_distinct(F.concat("rungs", "w"))).alias("term"))
+    rungs = kinds.join(each, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et")).join(n_t, "term").join(n_e, "entity").select("entity", F.col("term").alias("rung"), share.alias("tells"))
+    steps = pairs.select("entity", "term", F.posexplode(F.array("narrow", wide(F.col("narrow")))).alias("step", "rung")).join(rungs, ["entity", "rung"], "left")
+    steps = steps.groupBy("term", "step", "rung").agg(F.max(F.coalesce("tells", F.lit(0.0))).alias("tells")).where(F.col("tells") < threshold)
+    steps = steps.groupBy("term").agg(F.min(F.struct("step", "rung"))["rung"].alias("mark"))
+    terms = pairs.groupBy("term").agg(F.max("share").alias("share")).join(steps, "term", "left")
+    terms = cut(terms.select("term", "share", F.coalesce("mark", F.lit("")).alias("mark")))
     wanted = _bitmap(terms)
 
     def places(batches):
@@ -240,16 +289,10 @@ def find(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> Dat
     """One row per row of docs: doc, key, base and spans (arrays of struct(start, kind, end), sorted).
 
     spans holds the direct identifiers and the disclosing terms outside them; how goes to `disclosing_terms`. Null and
-    empty texts have none. Other columns of docs are ignored.
+    empty texts have none, equal texts the same, repeated rows a row each; an empty table gives an empty one. Other columns of docs are ignored.
     """
-    d = _input(docs, doc, text)
-
-    def base(batches):
-        for b in filter(len, batches):
-            yield pd.DataFrame({"doc": b["doc"].astype("Int64"), "key": b["key"], "base": [[{"start": s, "kind": k, "end": e} for s, k, e in find_base(t)] for t in b["t"]]})
-
-    rows = d.mapInPandas(base, "doc long, key long, base array<struct<start:long,kind:int,end:long>>")
-    terms, places = disclosing_terms(docs, doc, text, **how)
+    rows = _scan(docs, doc, text)
+    terms, places = disclosing_terms(docs, doc, text, scanned=rows, **how)
     extra = places.groupBy("doc", "key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("extra"))
     extra = extra.select(F.col("doc").alias("f"), F.col("key").alias("k"), "extra")
     free = F.filter("extra", lambda x: ~F.exists("base", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
@@ -267,13 +310,13 @@ def report(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> D
 
 
 def sanitise(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with identifiers in `text` replaced by `<kind>`, disclosing terms generalised to `<term>`, or removed.
+    """docs with identifiers in `text` replaced by `<kind>`, disclosing terms by a rung such as `<long word>` or `<code>`, or removed.
 
     Keeps every row and column; n_chars, where there is one, is counted anew. A null text stays null.
     """
     terms, places = disclosing_terms(docs, doc, text, **how)
-    hits = places.join(terms.select("term", "remove"), "term")
-    hits = hits.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "end", "remove")).alias("__hits"))
+    hits = places.join(terms.select("term", "mark"), "term")
+    hits = hits.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "end", "mark")).alias("__hits"))
     hits = hits.select(F.col("doc").alias("__f"), F.col("key").alias("__k"), "__hits")
 
     @F.pandas_udf("string")
@@ -292,7 +335,7 @@ def sanitise(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) ->
             base = list(spans)
             for r in h if h is not None else ():
                 if not any(s < r["end"] and r["start"] < e for s, e, _ in base):
-                    spans.append((r["start"], r["end"], "" if r["remove"] else "<term>"))
+                    spans.append((r["start"], r["end"], r["mark"]))
             for s, e, mark in sorted(spans):
                 parts += [x[at:s], mark]
                 at = e

@@ -80,7 +80,7 @@ def corpus():
     """Zorvath stands wherever anna's address does; `writes` everywhere."""
     rows = [f"Number {w} Zorvath writes from anna@x.org about {w}s today" for w in ("apple", "plumb", "grape", "lemon")]
     rows += [f"Someone writes about {w} again" for w in ("trees", "rocks", "birds", "boats", "roads", "words")]
-    return rows
+    return rows + [f"Everyone writes of {w}s and {w}t, number {i}" for i, w in enumerate(("tree", "rock", "bird", "boat", "road", "word") * 10)]
 
 
 def test_disclosing_terms_by_counting(spark):
@@ -88,21 +88,42 @@ def test_disclosing_terms_by_counting(spark):
     d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     terms, places = pii.disclosing_terms(d)
     n = len(rows)
-    near = [set(re.findall(r"[^\W\d_]{4,}", t.lower().replace("anna@x.org", "|"))) for t in rows if "anna@" in t]
+    bag = lambda t: set(re.findall(r"[^\W_]+", t.lower().replace("anna@x.org", "|")))
+    near = [bag(t) for t in rows if "anna@" in t]
+    tried = sum(map(len, near))
     want = {}
     for t in set().union(*near):
-        together = sum(t in x for x in near)
-        everywhere = sum(bool(re.search(rf"\b{t}\b", x.lower())) for x in rows)
+        together, everywhere = sum(t in x for x in near), sum(t in bag(x) for x in rows)
         share = math.log2(n * together / (4 * everywhere)) / math.log2(n / 4)
-        if together >= 3 and share >= 0.95:
+        if together >= 2 and share >= 0.95 and pii.chance(n, 4, everywhere, together) <= 0.01 / tried:
             want[t] = share
     got = {r.term: r.share for r in terms.collect()}
-    assert got.keys() == want.keys() and "zorvath" in got and "writes" not in got
+    assert got.keys() == want.keys() and "zorvath" in got and "writes" not in got and "apple" not in got
     assert all(abs(got[t] - want[t]) < 1e-8 for t in got)
-    found = {(r.doc_id if "doc_id" in r else r.doc, r.start, r.end) for r in places.collect()}
+    found = {(r.doc, r.start, r.end) for r in places.collect()}
     assert found == {(i, m.start(), m.end()) for i, t in enumerate(rows) for m in re.finditer("|".join(rf"\b{x}\b" for x in want), t, re.I)}
 
 
+def test_one_text_tells_nothing(spark):
+    """Words that only one text with an identifier has stay, however large the corpus; give-away terms of several texts go."""
+    rows = [f"secretly{i} unheard{i} of u{i}@x.org" for i in range(40)] + [f"plain text number {i}" for i in range(2000)]
+    rows += [f"the Xanthippe{c} file of boss@y.net" for c in ("", " two", " three")]
+    terms, _ = pii.disclosing_terms(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert "xanthippe" in {r.term for r in terms.collect()} and not any(r.term.startswith(("secretly", "unheard")) for r in terms.collect())
+
+
+def test_ladder(spark):
+    """A term becomes the first rung that does not give the entity away itself; without one it goes."""
+    rows = [f"Zorvath K9 about anna@x.org {i}" for i in range(4)] 
+    rows += [f"nothing of importance here {i} times" for i in range(60)] + [f"short ab{i}" for i in range(10)]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    marks = {r.term: r.mark for r in pii.disclosing_terms(d)[0].collect()}
+    assert marks["zorvath"] == "<middling word>"
+    only = [f"9z{i % 4} about anna@x.org 77" for i in range(4)] + [f"nothing here of note {'abcdefgh'[i % 8]}" for i in range(60)]
+    marks = {r.term: r.mark for r in pii.disclosing_terms(spark.createDataFrame(list(enumerate(only)), "doc_id long, text string"))[0].collect()}
+    assert marks["77"] == ""  # no other text has a number
+
+
 def test_sanitise(spark):
     rows = [(i, t, len(t)) for i, t in enumerate(corpus())] + [(90, None, None), (91, "", 0), (92, "call +49 30 1234567 or b@y.net", 30), (92, "call +49 30 1234567 or b@y.net", 30), (None, "c@z.org here", 12)]
     out = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"))
@@ -112,18 +133,13 @@ def test_sanitise(spark):
         assert r.text is None or not brute(r.text) and "zorvath" not in r.text.lower() and len(r.text) == r.n_chars
     by = {r.doc_id: r.text for r in got}
     assert by[90] is None and by[91] == "" and by[92] == "call <phone> or <email>" and by[None] == "<email> here"
-    assert by[5] == corpus()[5]
-
-
-def test_generalise_below_removal(spark):
-    d = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
-    assert any("<term>" in r.text for r in pii.sanitise(d, removal=2.0).collect())
+    assert by[5] == corpus()[5] and by[0] == "Number apple <middling word> writes <middling word> <email> about apples <middling word>"
 
 
 def test_whole_text_and_short_terms_count(spark):
     """A short and an alphanumeric term far from an identifier that two texts have; copies of one text are no evidence."""
     far = "filler " * 60
-    rows = [f"Qi R2D2 {far} anna@x.org {w}" for w in ("one", "two")] + [f"{far} number {i % 7}" for i in range(50)]
+    rows = [f"Qi R2D2 {far} anna@x.org {w}" for w in ("one", "two")] + [f"{far} number {i % 7}" for i in range(300)]
     rows += ["copied Uvw " + far + "b@y.net"] * 3
     d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     terms, places = pii.disclosing_terms(d)
@@ -136,21 +152,10 @@ def test_chance():
     assert pii.chance(5, 5, 5, 5) == 1 and pii.chance(10**7, 1, 1, 1) < 1.01e-7
 
 
-def test_given_table_yields_terms(spark):
-    """Each identifier of sf0.01 stands in one text: what only that text has gives it away, counted by hand."""
+def test_given_table_keeps_rare_words(spark):
+    """Each identifier of sf0.01 stands in one text, so nothing there shows that a word gives it away."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    texts = [r.text or "" for r in d.select("text").collect()]
-    bags = []
-    for t in texts:
-        spans = brute(t)
-        bags.append((t if spans else None, {m[0].lower() for m in re.finditer(r"[^\W_]+", t) if not any(s < m.end() and m.start() < e for s, _, e in spans)}))
-    everywhere = {}
-    for _, bag in bags:
-        for x in bag:
-            everywhere[x] = everywhere.get(x, 0) + 1
-    copies = {t: texts.count(t) for t, _ in bags if t is not None}
-    want = {x for t, bag in bags if t is not None for x in bag if everywhere[x] == copies[t]}
-    assert want and {r.term for r in pii.disclosing_terms(d)[0].collect()} >= want
+    assert pii.disclosing_terms(d)[0].count() == 0
 
 
 def test_empty(spark):
