@@ -18,40 +18,45 @@ from pyspark.sql import functions as F
 
 from eventloom.runtime import cut
 
-#: Entries of counts, and combinations, that a task holds before it hands them on.
-HELD = 500_000
+#: Entries of counts that a task holds before it hands them on, and pairs of counts that it looks at together.
+HELD, PAIRS = 800_000, 4_000_000
 #: Letters in lower case and all bytes of other characters stay, the rest becomes a space.
 _LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, n_docs) of the batches, added up as far as HELD allows."""
-    held: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+    """(lang, source, term, n, n_docs) of the batches, added up as far as HELD allows.
+
+    Only the sum of n_docs over a language's sources matters, so the first of them gets all of it.
+    """
+    held: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+    docs: dict[str, Counter] = defaultdict(Counter)
 
     def handed() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
-            size = len(terms)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * size, pa.string()),
-                    pa.array([source] * size, pa.string()),
-                    pa.array(terms, pa.binary()).cast(pa.string()),
-                    pa.array(n.values(), pa.int64()),
-                    pa.array(map(docs.__getitem__, terms), pa.int64()),
-                ],
-                names=["lang", "source", "term", "n", "n_docs"],
-            )
+        for lang, sources in held.items():
+            spread = docs[lang]
+            for source, n in sources.items():
+                terms, size = list(n), len(n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.repeat(pa.scalar(lang, pa.string()), size),
+                        pa.repeat(pa.scalar(source, pa.string()), size),
+                        pa.array(terms, pa.binary()).cast(pa.string()),
+                        pa.array(np.fromiter(n.values(), np.int64, size)),
+                        pa.array(np.fromiter((spread.pop(t, 0) for t in terms), np.int64, size)),
+                    ],
+                    names=["lang", "source", "term", "n", "n_docs"],
+                )
         held.clear()
+        docs.clear()
 
     for b in batches:
         langs, sources = b["lang"].to_pylist(), b["source"].to_pylist()
         for lang, source, text in zip(langs, sources, b["text"].cast(pa.binary()), strict=True):
             words = text.as_py().translate(_LETTERS).split()
-            n, docs = held[lang, source]
-            n.update(words)
-            docs.update(set(words))
-        if sum(len(n) for n, _ in held.values()) > HELD:
+            held[lang][source].update(words)
+            docs[lang].update(set(words))
+        if sum(len(n) for x in held.values() for n in x.values()) > HELD:
             yield from handed()
     yield from handed()
 
@@ -88,35 +93,68 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+class _Tally:
+    """How often each (a, b, na, nb) was seen; numbers of sources for a and b. Keys are packed into one integer where they fit."""
+
+    def __init__(self):
+        self.rows: list[np.ndarray] = []
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, rows: np.ndarray) -> None:
+        self.waiting.append(rows)
+        self.held += rows.shape[1]
+        if self.held > PAIRS:
+            self.settle()
+
+    def settle(self) -> None:
+        some = [np.vstack([x, np.ones((1, x.shape[1]), np.int64)]) for x in self.waiting]
+        rows = np.concatenate([*self.rows, *some], axis=1) if self.rows or some else np.zeros((5, 0), np.int64)
+        self.waiting.clear()
+        self.held = 0
+        bits = [int(x.max(initial=0)).bit_length() for x in rows[:4]]
+        if sum(bits) < 63:
+            key = rows[0]
+            for x, n in zip(rows[1:4], bits[1:], strict=True):
+                key = (key << n) | x
+            key, m = _summed(key, rows[4])
+            parts = []
+            for n in reversed(bits[1:]):
+                parts.append(key & ((1 << n) - 1))
+                key = key >> n
+            self.rows = [np.stack([key, *reversed(parts), m])]
+        else:
+            order = np.lexsort(rows[3::-1])
+            rows = rows[:, order]
+            new = np.flatnonzero(np.concatenate([[True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)]))
+            self.rows = [np.vstack([rows[:4, new], np.add.reduceat(rows[4], new)])]
+
+
+def _summed(key: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(key):
+        return key, m
+    order = np.argsort(key, kind="stable")
+    key, m = key[order], m[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new], np.add.reduceat(m, new)
+
+
 def _combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, a, b, na, nb, m): how many terms have the counts na and nb in sources a < b, both above zero, added up as far as HELD allows.
+    """(lang, a, b, na, nb, m): how many terms have the counts na and nb in sources a < b, both above zero, added up as far as PAIRS allows.
 
     Batches are ordered by lang, term and source. Row i and row i + d of one term make a pair; d runs over as many rows as the term has.
     """
     ids: dict[tuple[str, str], int] = {}
-    names: list[tuple[str, str]] = []
-    some: list[np.ndarray] = []
-    held = 0
-
-    def handed() -> Iterator[pa.RecordBatch]:
-        nonlocal held
-        if not some:
-            return
-        k, m = np.unique(np.concatenate(some)[:, :4], axis=0, return_inverse=True)
-        m = np.bincount(m.ravel(), weights=np.concatenate(some)[:, 4]).astype(np.int64)
-        some[:] = [np.column_stack([k, m])]
-        held = len(k)
-        if held > HELD // 2:
-            yield from out()
+    tally = _Tally()
 
     def out() -> Iterator[pa.RecordBatch]:
-        nonlocal held
-        for x in some:
-            lang = np.array([names[i][0] for i in x[:, 0]], object)
-            a, b = (np.array([names[i][1] for i in x[:, j]], object) for j in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(pa.array(x[:, j]) for j in (2, 3, 4))], names=["lang", "a", "b", "na", "nb", "m"])
-        some.clear()
-        held = 0
+        tally.settle()
+        names = list(ids)
+        langs, sources = (np.array([x[i] for x in names], object) for i in (0, 1))
+        for x in tally.rows:
+            columns = [pa.array(langs[x[0]], pa.string()), pa.array(sources[x[0]], pa.string()), pa.array(sources[x[1]], pa.string()), *map(pa.array, x[2:])]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "a", "b", "na", "nb", "m"])
+        tally.rows = []
 
     rest: pa.Table | None = None
     for b in batches:
@@ -127,42 +165,31 @@ def _combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         last = pc.and_(pc.equal(t["lang"], t["lang"][-1]), pc.equal(t["term"], t["term"][-1])).to_numpy(zero_copy_only=False)
         whole = int(np.argmax(last))  # the last term may go on in the next batch
         rest, t = t.slice(whole), t.slice(0, whole)
-        for x in _pairs(t, ids, names):
-            some.append(x)
-            held += len(x)
-            if held > HELD:
-                yield from handed()
+        _pairs(t, ids, tally)
+        if tally.rows and tally.rows[0].shape[1] > PAIRS // 2:
+            yield from out()
     if rest is not None:
-        for x in _pairs(rest, ids, names):
-            some.append(x)
-            held += len(x)
-            if held > HELD:
-                yield from handed()
-    yield from handed()
-    yield from out()
+        _pairs(rest, ids, tally)
+    if ids:
+        yield from out()
 
 
-def _pairs(t: pa.Table, ids: dict, names: list) -> Iterator[np.ndarray]:
-    """Rows (a, b, na, nb, m) of distinct combinations among the rows of a table that are d apart, d = 1, 2, ..."""
+def _pairs(t: pa.Table, ids: dict[tuple[str, str], int], tally: _Tally) -> None:
+    """Adds (a, b, na, nb) of all rows of one term that are d apart, d = 1, 2, ..."""
     if t.num_rows < 2:
         return
-    lang, term = (t[c].combine_chunks() for c in ("lang", "term"))
-    new = ~(pc.equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False) & pc.equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False))
-    group = np.concatenate([[0], np.cumsum(new)])
-    for k in zip(t["lang"].to_pylist(), t["source"].to_pylist(), strict=True):
-        if k not in ids:
-            ids[k] = len(names)
-            names.append(k)
-    source = np.array([ids[k] for k in zip(t["lang"].to_pylist(), t["source"].to_pylist(), strict=True)], np.int64)
+    lang, term, source = (t[c].combine_chunks().dictionary_encode() for c in ("lang", "term", "source"))
+    lang_of, source_of = lang.indices.to_numpy().astype(np.int64), source.indices.to_numpy().astype(np.int64)
+    both = lang_of * len(source.dictionary) + source_of
+    used, at = np.unique(both, return_inverse=True)
+    langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+    numbers = [ids.setdefault((langs[k // len(sources)], sources[k % len(sources)]), len(ids)) for k in used.tolist()]
+    number = np.array(numbers, np.int64)[at]
+    group = lang_of * len(term.dictionary) + term.indices.to_numpy()
     n = t["n"].to_numpy().astype(np.int64)
     d = 1
-    while True:
-        i = np.flatnonzero(group[d:] == group[:-d]) if d < len(group) else np.empty(0, np.int64)
-        if not len(i):
-            return
-        rows = np.column_stack([source[i], source[i + d], n[i], n[i + d]])
-        k, m = np.unique(rows, axis=0, return_counts=True)
-        yield np.column_stack([k, m])
+    while d < len(group) and len(i := np.flatnonzero(group[d:] == group[:-d])):
+        tally.add(np.stack([number[i], number[i + d], n[i], n[i + d]]))
         d += 1
 
 

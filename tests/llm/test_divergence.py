@@ -45,15 +45,15 @@ def test_against_counting_by_hand(spark, held, monkeypatch):
 
 
 def test_terms_over_batches(monkeypatch):
-    """Combinations are the same however rows of a term are cut into batches."""
+    """Combinations are the same however rows of a term are cut into batches, and for counts too large to pack."""
     import pyarrow as pa
 
     rng = random.Random(2)
-    rows = [("en", s, t, rng.randint(1, 3)) for t in map(str, range(50)) for s in sorted(rng.sample("abcdefg", rng.randint(1, 7)))]
+    rows = [("en", s, t, rng.choice([1, 2, 1 << 40])) for t in map(str, range(50)) for s in sorted(rng.sample("abcdefg", rng.randint(1, 7)))]
     table = pa.table({k: [r[i] for r in rows] for i, k in enumerate(("lang", "source", "term", "n"))})
     want = Counter((a, b, x, y) for _, a, t, x in rows for _, b, u, y in rows if t == u and a < b)
     for size, held in ((1, 3), (3, 20), (1000, 500_000)):
-        monkeypatch.setattr(divergence, "HELD", held)
+        monkeypatch.setattr(divergence, "PAIRS", held)
         got = Counter()
         for b in divergence._combinations(iter(table.to_batches(max_chunksize=size))):
             for r in b.to_pylist():
