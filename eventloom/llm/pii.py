@@ -208,9 +208,17 @@ def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", t
     # Only entities of several texts can show anything.
     each = each.join(n_e.where("e_texts > 1").select("entity"), "entity")
     seen = cut(seen.join(each.select("key").distinct(), "key", "left_semi"))
+    total = max(docs.count(), 2)
+    n = F.lit(float(total))
+    # As n_et is n_e at most, a term in more documents than `bound` cannot reach the threshold for any entity of the text. It is in as many as
+    # texts with identifiers hold it, at least; what is left of the terms is counted over all documents.
+    bound = F.pow(n, F.lit(1 - threshold)) * F.pow(F.col("most"), F.lit(threshold)) * 1.001
+    most = each.join(n_e, "entity").groupBy("key").agg(F.max("n_e").alias("most"))
     words = F.explode(F.split("terms", " ")).alias("term")
-    several = seen.select("key", words).where("term <> ''").groupBy("term").agg(F.count("*").alias("texts")).where("texts > 1")
-    sent = _bitmap(several)
+    own = seen.join(most, "key").select("key", "n", bound.alias("bound"), words).where("term <> ''")
+    several = own.groupBy("term").agg(F.count("*").alias("texts"), F.sum("n").alias("least")).where("texts > 1").select("term", "least")
+    own = cut(own.join(several, "term").where("least <= bound").select("key", "bound", "term"))
+    sent = _bitmap(own.select("term").distinct())
 
     def frequencies(batches):
         bitmap, rungs = sent.value, _Rungs()
@@ -237,15 +245,10 @@ def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", t
         return term.map(_Rungs())
 
     n_t = cut(d.select("t").mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")))
-    total = max(docs.count(), 2)
-    n = F.lit(float(total))
     pmi = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.round(pmi / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9)), 9)
-    # As n_et is n_e at most, a term in more documents than `bound` cannot reach the threshold for any entity of the text: only the others are paired.
-    bound = F.pow(n, F.lit(1 - threshold)) * F.pow(F.col("most"), F.lit(threshold)) * 1.001
-    most = each.join(n_e, "entity").groupBy("key").agg(F.max("n_e").alias("most"))
-    rare = seen.join(most, "key").select("key", bound.alias("bound"), words).where("term <> ''").join(n_t, "term").where("n_t <= bound")
-    n_et = rare.join(several.select("term"), "term", "left_semi").join(each, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"), F.first("n_t").alias("n_t"))
+    rare = own.join(n_t, "term").where("n_t <= bound")
+    n_et = rare.join(each, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"), F.first("n_t").alias("n_t"))
     pairs = n_et.where("texts > 1").join(n_e, "entity").withColumn("share", share).where(F.col("share") >= threshold)
     copies = F.col("n_et") - F.col("texts")
     pairs = pairs.where(by_chance(F.lit(total) - copies, "e_texts", F.col("n_t") - copies, "texts") <= level / tried)
