@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventloom.functions.common import let, numbers
+from eventloom.functions.special import normal_between
 
 # fixed values
 FINE_STRUCTURE = 0.0072973525643
@@ -15,17 +16,6 @@ CIRCLE_IN_SQUARE = math.pi / 4
 CIRCLE_IN_HEXAGON = math.pi / (2 * math.sqrt(3))
 
 
-def erf(x: Column) -> Column:
-    """Error function by a polynomial in 1 / (1 + p |x|) (Abramowitz and Stegun 7.1.26); its error is below 1.5e-7."""
-    t = 1 / (1 + 0.3275911 * F.abs(x))
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return F.signum(x) * (1 - poly * F.exp(-x * x))
-
-
-def normal_cdf(x: Column, mean: Column, sigma: Column) -> Column:
-    return (1 + erf((x - mean) / (math.sqrt(2) * sigma))) / 2
-
-
 def chord(radius: Column, rho: Column, phi: Column) -> Column:
     """Length of the line in direction phi over a circle of this radius, from a point at rho radii from its centre; all of it seen from outside."""
     inside = 1 - (rho * F.sin(phi)) ** 2
@@ -59,7 +49,7 @@ def pixel_light(x: list[float], y: list[float], impact: Column, phi: Column, cen
         step = (F.atan2(dy, dx) + math.pi) / (2 * math.pi) * (F.size(light) - 1)
         low = F.least(F.floor(step).cast("int"), F.size(light) - 2)
         along = light[low] + (light[low + 1] - light[low]) * (step - low)
-        across = normal_cdf(r + pixel / 2, radius, width) - normal_cdf(r - pixel / 2, radius, width)
+        across = normal_between(r - pixel / 2, r + pixel / 2, radius, width)
         return along * across * (FINE_STRUCTURE * (1 / shortest - 1 / longest) * pixel * shape) / radius * 0.5 * F.sin(2 * radius)
 
     pixels = F.arrays_zip(numbers(x).alias("x"), numbers(y).alias("y"))

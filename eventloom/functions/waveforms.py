@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,3 +170,85 @@ def sharpened_peak(waveforms: Column, neighbors: Column, width: int, shift: int,
 
     parts = [sharp(pole_zero).alias("a")] + ([sharp(1.0).alias("edge")] if limit is not None else [])
     return let(F.struct(*parts), over)
+
+
+@dataclass(frozen=True)
+class Deconvolution:
+    """What sharpened_peak needs of a camera, from its reference pulse: the names are those of its arguments."""
+
+    pole_zero: float
+    gain: float
+    delay: float
+    lead: float
+
+
+def _sharp(x: np.ndarray, pole_zero: float, upsampling: int) -> np.ndarray:
+    """deconvolve with no baseline, for one numpy waveform."""
+    y = np.concatenate([[0.0], x[1:] - pole_zero * x[:-1]])
+    if upsampling == 1:
+        return y
+    y = np.repeat(y, upsampling)
+    box, before = np.ones(upsampling) / upsampling, upsampling // 2
+    after = upsampling - 1 - before
+    for _ in range(2):  # forward, then on what is turned round
+        y = np.convolve(np.pad(y, (after, before), mode="edge"), box, "valid")[::-1]
+    return y
+
+
+def _centre(d: np.ndarray, peak: int, limit: float) -> float:
+    if d[peak] < 0:
+        return float(peak)
+    above = d > limit * d[peak]
+    low, high = peak, peak
+    while low > 0 and above[low - 1]:
+        low -= 1
+    while high + 1 < len(d) and above[high + 1]:
+        high += 1
+    part = d[low : high + 1]
+    return float((part * np.arange(low, high + 1)).sum() / part.sum()) if part.sum() else float(peak)
+
+
+def deconvolution(pulse: Sequence[float], pulse_step: float, sample_step: float, upsampling: int, width: int, shift: int, limit: float | None = None, profile: float = 0.0) -> Deconvolution:
+    """Pole-zero factor, gain, delay and lead of the edge for a reference pulse sampled every pulse_step ns in a camera that samples every sample_step ns.
+
+    All are means over the phases in which the camera can meet the pulse. The factor is the decay from the sample after the steepest fall to the next one. The gain is the
+    share of the pulse's charge in the window about its sharpened peak, for light spread in time by a Gaussian of `profile` ns (0: none). With a limit the delay is that of the rising edge's
+    centroid, else of the peak; lead: samples from the edge's peak to the sharpened one. Phases whose window leaves the pulse do not count; an error if none is left.
+    """
+    if upsampling < 1 or width < 1:
+        raise ValueError("upsampling and width must be at least 1")
+    if sample_step < pulse_step:
+        raise ValueError("the reference pulse must be sampled at least as finely as the camera samples")
+    pulse = np.asarray(pulse, float)
+    step = round(sample_step / pulse_step)
+    decays = []
+    for phase in range(step):
+        x = pulse[phase::step]
+        i = int(np.argmin(np.diff(x))) + 1
+        if i + 1 < len(x):
+            decays.append(x[i + 1] / x[i])
+    if not decays:
+        raise ValueError("no decay in the reference pulse")
+    pole_zero = float(np.mean(decays))
+    seen = pulse
+    if profile:
+        t = (np.arange(len(pulse)) - len(pulse) / 2) * pulse_step
+        seen = np.convolve(pulse, np.exp(-((t / profile) ** 2) / 2) / (profile * math.sqrt(2 * math.pi)), "same")
+    charge = seen.sum() * pulse_step / sample_step
+    gains, delays, leads = [], [], []
+    for phase in range(step):
+        x = seen[phase::step]
+        y = _sharp(x, pole_zero, upsampling)
+        peak = int(y.argmax())
+        if peak - shift < 0 or peak - shift + width > len(y):
+            continue
+        at = float(peak)
+        if limit is not None:
+            edge = _sharp(x, 1.0, upsampling)
+            leads.append(peak - int(edge.argmax()))
+            at = _centre(edge, int(edge.argmax()), limit)
+        delays.append((at / upsampling * step - int(seen.argmax())) * pulse_step)
+        gains.append(y[peak - shift : peak - shift + width].sum() / charge)
+    if not gains:
+        raise ValueError("the peak of the reference pulse is not contained")
+    return Deconvolution(pole_zero, float(np.mean(gains)), float(np.mean(delays)), float(np.mean(leads)) if leads else 0.0)

@@ -10,10 +10,12 @@ import math
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions import regression
 from eventloom.functions.common import finite, indices, let, nested, numbers, ratio, total
 
 
@@ -144,36 +146,44 @@ def masked(image: Column, mask: Column) -> Column:
 
 
 def islands(mask: Column, camera: Camera) -> Column:
-    """Labels of connected pixels: 1, 2, ... by first pixel, 0 outside of the mask.
+    """Labels of connected pixels: 1, 2, ... by first pixel, 0 outside of the mask; null masks and pixels count as outside.
 
-    Labels start as pixel numbers and take the least label around until nothing can change; a camera's graph is small, so
-    Python walks it once per image in Arrow batches.
+    Labels start as pixel numbers and take the least label around, and the label of their label, until nothing changes; each step is one
+    array operation over all images of an Arrow batch.
     """
-    near = camera.neighbors
+    most, size = max(map(len, camera.neighbors), default=0), camera.n
+    near = np.array([[*v, *[i] * (most - len(v))] for i, v in enumerate(camera.neighbors)], np.int64).reshape(camera.n, most)
 
     @F.pandas_udf("array<int>")
     def label(masks: pd.Series) -> pd.Series:
-        out = []
-        for m in masks:
-            if m is None:
-                out.append(None)
-                continue
-            labels, n = [0] * len(m), 0
-            for i in range(len(m)):
-                if m[i] and not labels[i]:
-                    n += 1
-                    labels[i], todo = n, [i]
-                    while todo:
-                        for j in near[todo.pop()]:
-                            if m[j] and not labels[j]:
-                                labels[j] = n
-                                todo.append(j)
-            out.append(labels)
-        return pd.Series(out)
+        known = masks.notna().to_numpy()
+        out = pd.Series([None] * len(masks), dtype=object)
+        for lot in np.array_split(np.flatnonzero(known), max(1, len(masks) * size // 4_000_000)):
+            if len(lot):
+                on = np.stack([np.asarray(m, object) == True for m in masks.iloc[lot]])  # noqa: E712
+                out.iloc[lot] = list(_label(on, near))
+        return out
 
     return label(mask)
 
 
+def _label(on: np.ndarray, near: np.ndarray) -> np.ndarray:
+    n = on.shape[1]
+    at = np.where(on, np.arange(n), n)
+    while True:
+        wide = np.concatenate([at, np.full((len(at), 1), n)], axis=1)
+        new = at
+        for k in range(near.shape[1]):
+            new = np.minimum(new, at[:, near[:, k]])
+        new = np.where(on, np.minimum(new, np.take_along_axis(wide, new, axis=1)), n)
+        if (new == at).all():
+            break
+        at = new
+    first = on & (at == np.arange(n))
+    rank = np.concatenate([np.cumsum(first, axis=1), np.zeros((len(at), 1), int)], axis=1)
+    return np.where(on, np.take_along_axis(rank, at, axis=1), 0).astype(np.int32)
+
+
 def island_sizes(labels: Column) -> Column:
     """struct(n, small, medium, large): up to 2 pixels, up to 50, more."""
     sizes = F.transform(F.sequence(F.lit(1), F.greatest(F.array_max(labels), F.lit(1))), lambda k: F.size(F.filter(labels, lambda v: v == k)))
@@ -348,41 +358,26 @@ def neighbor_average(image: Column, broken: Column, camera: Camera) -> Column:
     return F.zip_with(F.zip_with(image, broken, lambda v, b: F.struct(v.cast("double").alias("v"), b.alias("b"))), camera.neighbor_lists, lambda p, v: F.when(p["b"], mean(v)).otherwise(p["v"]))
 
 
-def timing(image: Column, times: Column, mask: Column, h: Column, camera: Camera, share: float = 0.85, steps: int = 6) -> Column:
+def timing(image: Column, times: Column, mask: Column, h: Column, camera: Camera, share: float = 0.85, starts: int = 5) -> Column:
     """struct(slope, intercept, deviation): trimmed least squares of the time over the longitudinal place, over pixels of the mask.
 
-    From the plain fit, the `share` of pixels with the smallest residuals is fitted again, `steps` times; the deviation is that of all
-    pixels. NaN for fewer than two pixels with finite times, or where all are at one place.
+    See regression.trimmed_line; the deviation is that of all pixels. NaN for fewer than two pixels with finite times, or where all are at one place.
     """
     x, y = numbers(camera.x), numbers(camera.y)
     nan = F.lit(math.nan)
     along = F.zip_with(x, y, lambda a, b: (a - h["x"]) * F.cos(h["psi"]) + (b - h["y"]) * F.sin(h["psi"]))
-    pts = F.transform(F.filter(F.arrays_zip(along.alias("a"), times.alias("t"), mask.alias("m")), lambda p: p["m"]), lambda p: F.struct(p["a"].alias("a"), p["t"].cast("double").alias("t")))
-    pts = F.filter(pts, lambda p: finite(p["a"]) & finite(p["t"]))
-    s = lambda p, f: F.aggregate(p, F.lit(0.0), lambda acc, v: acc + f(v))
-
-    def fit(used: Column, p: Column) -> Column:
-        def line(m: Column) -> Column:
-            saa, sat = s(used, lambda v: (v["a"] - m["a"]) ** 2), s(used, lambda v: (v["a"] - m["a"]) * (v["t"] - m["t"]))
-            slope = F.try_divide(sat, F.when(saa > 1e-12, saa))
-            return F.struct(slope.alias("slope"), (m["t"] - slope * m["a"]).alias("intercept"), p.alias("p"))
-
-        n = F.size(used)
-        return let(F.struct(ratio(s(used, lambda v: v["a"]), n).alias("a"), ratio(s(used, lambda v: v["t"]), n).alias("t")), line)
-
-    def again(f: Column) -> Column:
-        residual = F.transform(f["p"], lambda v: F.struct(F.abs(v["t"] - f["slope"] * v["a"] - f["intercept"]).alias("r"), v["a"].alias("a"), v["t"].alias("t")))
-        best = F.slice(F.array_sort(residual), 1, F.greatest(F.floor(F.size(f["p"]) * share), F.lit(2)).cast("int"))
-        return F.when(f["slope"].isNotNull(), let(best, lambda b: fit(b, f["p"])))
+    pts = F.transform(F.filter(F.arrays_zip(along.alias("x"), times.alias("y"), mask.alias("m")), lambda p: p["m"]), lambda p: F.struct(p["x"].alias("x"), p["y"].cast("double").alias("y")))
+    pts = F.filter(pts, lambda p: finite(p["x"]) & finite(p["y"]))
 
-    def chain(f: Column, left: int) -> Column:
-        return let(again(f), lambda g: chain(g, left - 1)) if left else result(f)
+    def result(p: Column) -> Column:
+        def spread(f: Column) -> Column:
+            squares = F.aggregate(p, F.lit(0.0), lambda s, v: s + (v["y"] - f["slope"] * v["x"] - f["intercept"]) ** 2)
+            rms = F.sqrt(ratio(squares, F.size(p)))
+            return F.struct(F.coalesce(f["slope"], nan).alias("slope"), F.coalesce(f["intercept"], nan).alias("intercept"), F.coalesce(rms, nan).alias("deviation"))
 
-    def result(f: Column) -> Column:
-        rms = F.sqrt(ratio(s(f["p"], lambda v: (v["t"] - f["slope"] * v["a"] - f["intercept"]) ** 2), F.size(f["p"])))
-        return F.struct(F.coalesce(f["slope"], nan).alias("slope"), F.coalesce(f["intercept"], nan).alias("intercept"), F.coalesce(rms, nan).alias("deviation"))
+        return let(regression.trimmed_line(p, starts, share), spread)
 
-    return let(let(pts, lambda p: fit(p, p)), lambda f: chain(f, steps))
+    return let(pts, result)
 
 
 def circle_fit(weights: Column, camera: Camera) -> Column:
