@@ -14,8 +14,8 @@ from eventloom.functions import fisher, muon
 from eventloom.functions.special import np_normal_between
 from eventloom.operators.images import Camera
 
-#: Images that a task fits together; directions that a fit of the light starts from.
-TOGETHER, STARTS = 500, (0.0, math.pi / 2, math.pi, -math.pi / 2)
+#: Images that a task fits together; directions that a fit of the light may start from.
+TOGETHER, STARTS = 500, 8
 
 
 def _circles(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -219,8 +219,8 @@ def fit_light(
 ) -> DataFrame:
     """d with efficiency: struct(impact, impact_x, impact_y, width, optical_efficiency, phi and their _err, likelihood, parameters_at_limit, is_valid).
 
-    The ring (fit_rings) stays as it is; impact, direction, width and efficiency are those of the greatest Gaussian likelihood over the pixels of ring_mask, from
-    four directions at the start (an impact within the hole leaves the direction and its opposite alike). Camera places in radians, mirror and hole (radii) in metres. `pixel`: its diameter, by default the side of its area.
+    The ring (fit_rings) stays as it is; impact, direction, width and efficiency are those of the greatest Gaussian likelihood over the pixels of ring_mask, from the
+    likeliest of eight directions (an impact within the hole leaves the direction and its opposite alike). Camera places in radians, mirror and hole (radii) in metres. `pixel`: its diameter, by default the side of its area.
     Null where the ring or image is null, too small for a pixel on its circumference, no pixel is near, or `accept` is not true.
     """
     wide = pixel if pixel is not None else math.sqrt(camera.area)
@@ -237,16 +237,14 @@ def fit_light(
         low = np.tile([0.0, -2 * np.pi, wide / 50, 0.0], (n, 1))
         high = np.column_stack([np.full(n, 20 * mirror), np.full(n, 2 * np.pi), rings.radius, np.full(n, 20.0)])
         step = np.tile([0.5, 0.1, wide / 10, 0.05], (n, 1))
-        best = None
-        for phi in STARTS:
-            start = np.tile([mirror / 2, phi, start_width, 0.1], (n, 1))
-            r = fisher.minimise(rings, rings.data, start, low, high, step)
-            if best is None:
-                best = r
-                continue
-            less = r.likelihood < best.likelihood - 1e-9
-            for k in ("values", "errors", "likelihood", "converged", "at_limit"):
-                getattr(best, k)[less] = getattr(r, k)[less]
+        every, rows = np.arange(n), np.arange(len(rings.data.fit))
+        start = np.tile([mirror / 2, 0.0, start_width, 0.1], (n, 1))
+        tried = []
+        for k in range(STARTS):
+            start[:, 1] = 2 * np.pi * k / STARTS
+            tried.append(np.bincount(rings.data.fit, rings.data.terms(rings(start, every, rows, rings.data.fit))[0], n))
+        start[:, 1] = 2 * np.pi * np.argmin(tried, axis=0) / STARTS
+        best = fisher.minimise(rings, rings.data, start, low, high, step, rounds=50)
         out = []
         for i in range(n):
             v = dict(zip(names, best.values[i].tolist(), strict=True))
