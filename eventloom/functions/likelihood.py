@@ -19,17 +19,23 @@ def gaussian(image: Column, prediction: Column, spe_width: Column, pedestal: Col
     return F.ln(2 * math.pi * theta) / 2 + (image - prediction) ** 2 / (2 * theta)
 
 
-def poisson_limit(mean: Column, confidence: float = 0.999, most: int = 200) -> Column:
-    """The least number whose Poisson distribution function reaches `confidence`."""
+def poisson_limit(mean: Column, confidence: float = 0.999) -> Column:
+    """The least number whose Poisson distribution function reaches `confidence`; 0 for a mean of 0.
 
-    def step(s: Column, k: Column) -> Column:
-        p = s["p"] * mean / k
-        more = s["c"] < confidence
-        return F.struct(p.alias("p"), F.when(more, s["c"] + p).otherwise(s["c"]).alias("c"), F.when(more, k).otherwise(s["k"]).alias("k"))
+    Terms are summed by their logarithms, ten standard deviations and more beyond the mean, so no mean is too large.
+    """
 
-    first = F.exp(-mean)
-    start = F.struct(first.alias("p"), first.alias("c"), F.lit(0).alias("k"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["k"]
+    def of(m: Column) -> Column:
+        def step(s: Column, k: Column) -> Column:
+            log = s["l"] + F.ln(m / k)
+            more = s["c"] < confidence
+            return F.struct(log.alias("l"), F.when(more, s["c"] + F.exp(log)).otherwise(s["c"]).alias("c"), F.when(more, k).otherwise(s["k"]).alias("k"))
+
+        start = F.struct((-m).alias("l"), F.exp(-m).alias("c"), F.lit(0).alias("k"))
+        last = F.ceil(m + 10 * F.sqrt(m) + 30).cast("int")
+        return F.when(m > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["k"]).when(m == 0, F.lit(0))
+
+    return let(mean.cast("double"), of)
 
 
 def numeric(image: Column, prediction: Column, spe_width: Column, pedestal: Column, limit: Column) -> Column:
@@ -38,8 +44,8 @@ def numeric(image: Column, prediction: Column, spe_width: Column, pedestal: Colu
     def of(mu: Column) -> Column:
         def step(s: Column, n: Column) -> Column:
             theta = pedestal**2 + n * spe_width**2
-            weight = F.when(n == 0, F.exp(-mu)).otherwise(s["w"] * mu / n)
-            return F.struct(weight.alias("w"), (s["l"] + weight / F.sqrt(2 * math.pi * theta) * F.exp(-((image - n) ** 2) / (2 * theta))).alias("l"))
+            log = F.when(n == 0, -mu).otherwise(s["w"] + F.ln(mu / F.greatest(n, F.lit(1))))
+            return F.struct(log.alias("w"), (s["l"] + F.exp(log) / F.sqrt(2 * math.pi * theta) * F.exp(-((image - n) ** 2) / (2 * theta))).alias("l"))
 
         return -F.ln(F.aggregate(F.sequence(F.lit(0), limit), F.struct(F.lit(0.0).alias("w"), F.lit(_EPSILON).alias("l")), step)["l"])
 

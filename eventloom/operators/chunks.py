@@ -142,13 +142,23 @@ def valid_chunks(df: DataFrame, keys: list[str], outlier: str, most: float = 0.1
     return df.groupBy(*keys).agg(F.avg(F.col(outlier).cast("int")).alias("faulty")).withColumn("is_valid", F.col("faulty") < most)
 
 
-def second_pass(df: DataFrame, by: list[str], order: list[str], value: str, faulty: DataFrame, size: int, shift: int) -> DataFrame:
-    """Shifted chunks of the rows around faulty first-pass chunks (by, chunk), with their statistics.
+def second_pass(df: DataFrame, by: list[str], order: list[str], value: str, faulty: DataFrame, size: int, shift: int, last: str = "overlap") -> DataFrame:
+    """by, faulty (number of a first-pass chunk of `size` rows), chunk: statistics of shifted chunks around each faulty chunk by itself.
 
-    The neighbours of a faulty chunk are covered as well, so that a shifted chunk may hold rows of both.
+    A faulty chunk is covered from its start, or from that of the chunk before if that is sound, to the end of the chunk after it, both ends moved
+    inwards by one shift (the end by one row less; the last row is out where the series ends before). Stretches of no more than `size` rows are left
+    out; others are cut every `shift` rows, and what remains is treated as `last` says. Every stretch is bounded, whatever the length of the series. Faulty chunks are
+    counted once; those beyond the series give nothing.
     """
     if not 0 < shift < size:
         raise ValueError("the shift must be between 0 and the size")
-    around = faulty.select(*by, F.explode(F.array(F.col("chunk") - 1, F.col("chunk"), F.col("chunk") + 1)).alias("chunk")).distinct()
-    first = size_chunks(df, by, order, size).join(around, [*by, "chunk"], "left_semi").drop("chunk")
-    return plain(size_chunks(first, by, order, size, shift, "skip"), [*by, "chunk"], value)
+    bad = faulty.select(*by, F.col("chunk").cast("long").alias("faulty")).where("faulty is not null").distinct()
+    before = F.coalesce(F.lag("faulty").over(Window.partitionBy(*by).orderBy("faulty")) == F.col("faulty") - 1, F.lit(False))
+    bad = bad.withColumn("__from", F.greatest(F.when(before, F.col("faulty")).otherwise(F.col("faulty") - 1), F.lit(0)) * size + shift)
+    n = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    rows = df.withColumn("__i", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long")).join(n, by)
+    chunk = F.floor(F.col("__i") / size)
+    rows = rows.withColumn("faulty", F.explode(F.array(chunk - 1, chunk, chunk + 1))).join(bad, [*by, "faulty"])
+    end = F.least(F.col("__n") - 1, (F.col("faulty") + 2) * size) - (shift - 1)
+    part = rows.where((F.col("__i") >= F.col("__from")) & (F.col("__i") < end) & (end - F.col("__from") > size)).drop("__i", "__n", "__from")
+    return plain(size_chunks(part, [*by, "faulty"], order, size, shift, last), [*by, "faulty", "chunk"], value)

@@ -30,7 +30,7 @@ _BINARY = {
     ast.Sub: lambda a, b: a - b,
     ast.Mult: lambda a, b: a * b,
     ast.Div: F.try_divide,
-    ast.Mod: F.pmod,
+    ast.Mod: lambda a, b: a - b * F.floor(F.try_divide(a, b)),  # the sign is the divisor's, as in Python
     ast.Pow: F.pow,
     ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a, b)),
     ast.BitAnd: lambda a, b: a & b,

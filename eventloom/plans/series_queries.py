@@ -139,15 +139,16 @@ def valid_chunks(spark, d):
     return chunks.valid_chunks(c, ["user_id", "chunk"], "outlier").withColumn("faulty", r6(F.col("faulty")))
 
 
-@query("second_pass", f"""WITH {_RN}, f AS (SELECT user_id, i // 10 AS chunk FROM n GROUP BY 1, 2 HAVING max(value) > 300), a AS (SELECT DISTINCT user_id, chunk + unnest([-1, 0, 1]) AS chunk FROM f),
-r AS (SELECT n.user_id, ts, event_id, value FROM n JOIN a ON a.user_id = n.user_id AND a.chunk = n.i // 10), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS j, count(*) OVER (PARTITION BY user_id) AS m FROM r),
-c AS (SELECT *, unnest(range((m - 10) // 5 + 1)) AS chunk FROM o WHERE m >= 10) SELECT user_id, chunk, {_STAT} FROM c WHERE m >= 10 AND chunk < (m - 10) // 5 + 1 AND j >= chunk * 5 AND j < chunk * 5 + 10 GROUP BY 1, 2""")
+@query("second_pass", f"""WITH {_RN}, f AS (SELECT user_id, i // 10 AS f FROM n GROUP BY 1, 2 HAVING max(value) > 250), g AS (SELECT *, greatest(CASE WHEN lag(f) OVER (PARTITION BY user_id ORDER BY f) = f - 1 THEN f ELSE f - 1 END, 0) * 10 + 5 AS lo FROM f),
+r AS (SELECT n.user_id, f AS faulty, value, i - lo AS j, least(n.n - 1, (f + 2) * 10) - 4 - lo AS m FROM n JOIN g ON g.user_id = n.user_id AND i >= lo AND i < least(n.n - 1, (f + 2) * 10) - 4),
+c AS (SELECT *, unnest(range((m - 10) // 5 + 2)) AS chunk, (m - 10) // 5 + 1 AS k FROM r WHERE m > 10)
+SELECT user_id, faulty, chunk, {_STAT} FROM c WHERE (chunk < k AND j >= chunk * 5 AND j < chunk * 5 + 10) OR (chunk = k AND m > (k - 1) * 5 + 10 AND j >= m - 10) GROUP BY 1, 2, 3""")
 def second_pass(spark, d):
     s = series(spark, d)
     first = chunks.size_chunks(s, ["user_id"], ["ts", "event_id"], 10)
-    faulty = first.groupBy("user_id", "chunk").agg(F.max("value").alias("top")).where("top > 300").select("user_id", "chunk")
+    faulty = first.groupBy("user_id", "chunk").agg(F.max("value").alias("top")).where("top > 250").select("user_id", "chunk")
     out = chunks.second_pass(s, ["user_id"], ["ts", "event_id"], "value", faulty, 10, 5)
-    return out.select("user_id", "chunk", "n_events", *[r6(F.col(c)).alias(c) for c in ("mean", "median", "std")])
+    return out.select("user_id", "faulty", "chunk", "n_events", *[r6(F.col(c)).alias(c) for c in ("mean", "median", "std")])
 
 
 @query("element_statistics", f"""WITH {_pixels()}, j AS (SELECT e.label AS label, px.* FROM px JOIN embeddings e USING (vec_id))
