@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from functools import lru_cache
 
@@ -100,11 +101,11 @@ class _Rungs(dict):
     """The narrow rung of each term: its kind and length; the wide rung is the kind alone."""
 
     def __missing__(self, term: str) -> str:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         kind = "word" if term.isalpha() else "number" if term.isdecimal() else "code"
         size = "short" if len(term) < 4 else "middling" if len(term) < 8 else "long"
-        self[term] = rung = f"<{size} {kind}>"
+        self[term] = rung = sys.intern(f"<{size} {kind}>")
         return rung
 
 
@@ -146,6 +147,12 @@ def _bitmap(terms: DataFrame):
     return terms.sparkSession.sparkContext.broadcast(bitmap.reshape(-1) if rows else None)
 
 
+def _lots(b: pd.DataFrame, rows: int = 1000):
+    """A batch in parts, so that the sets of terms of few texts are held at a time."""
+    for i in range(0, len(b), rows):
+        yield b.iloc[i : i + rows]
+
+
 def _known(bitmap: np.ndarray, terms: list[str]) -> set[str]:
     """Those of the terms whose bits are set."""
     if not terms:
@@ -223,18 +230,17 @@ def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", t
     def frequencies(batches):
         bitmap, rungs = sent.value, _Rungs()
         for b in filter(len, batches):
-            if bitmap is None:
-                continue
             n: Counter = Counter()
-            for t in b["t"]:
-                bag = _bag(t, find_base(t))
-                n.update(bag)
-                narrow = set(map(rungs.__getitem__, bag))
-                n.update(narrow)
-                n.update({f"<{x.partition(' ')[2]}" for x in narrow})
-            known = [*_known(bitmap, list(n)), *(x for x in n if x[0] == "<")]
-            if known:
-                yield pd.DataFrame({"term": known, "n": [n[t] for t in known]})
+            for lot in _lots(b) if bitmap is not None else ():
+                bags = [_bag(t, find_base(t)) for t in lot["t"]]
+                known = _known(bitmap, list(set().union(*bags)))
+                for bag in bags:
+                    n.update(known & bag)
+                    narrow = set(map(rungs.__getitem__, bag))
+                    n.update(narrow)
+                    n.update({f"<{x.partition(' ')[2]}" for x in narrow})
+            if n:
+                yield pd.DataFrame({"term": list(n), "n": list(n.values())})
 
     @F.pandas_udf("double")
     def by_chance(n: pd.Series, n_e: pd.Series, n_t: pd.Series, n_et: pd.Series) -> pd.Series:
@@ -266,13 +272,13 @@ def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", t
     def places(batches):
         bitmap = wanted.value
         for b in filter(len, batches):
-            rows, known = [], set()
-            if bitmap is not None:
-                bags = [{t.lower() for t in set(_TERM.findall(t))} for t in b["t"]]
+            rows = []
+            for lot in _lots(b) if bitmap is not None else ():
+                bags = [{t.lower() for t in set(_TERM.findall(t))} for t in lot["t"]]
                 known = _known(bitmap, list(set().union(*bags)))
-            for i, key, t, bag in zip(b["doc"], b["key"], b["t"], bags, strict=True) if known else ():
-                if not known.isdisjoint(bag):
-                    rows += [(i, key, start, end, x) for start, end, x in _terms(t, find_base(t)) if x in known]
+                for i, key, t, bag in zip(lot["doc"], lot["key"], lot["t"], bags, strict=True) if known else ():
+                    if not known.isdisjoint(bag):
+                        rows += [(i, key, start, end, x) for start, end, x in _terms(t, find_base(t)) if x in known]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc", "key", "start", "end", "term"]).astype({"doc": "Int64"})
 
