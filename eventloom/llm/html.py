@@ -1,9 +1,11 @@
 """Main text of web pages by composite text density.
 
-Every block element is a node. Its density is its characters per tag, lowered by the share of link text; the node whose children's
+Every block element is a node. Its density is its characters per tag, lowered by the share of link text, and by LOWERED for every node
+around it that markup names as menu, header, footer, sidebar, notice, advert, form or comment; the node whose children's
 densities add up to most gives the threshold, the least density on the way from it to the body. Under every node that
 reaches it the subtree with the largest sum belongs to the article, and so does text that stands there by itself; blocks
-below it inside of these, if they are mostly links, are left out. What markup names as menu, header, footer, sidebar, notice, advert, form or comment is no node.
+below it inside of these, if they are mostly links or lowered, are left out. Class, id or role words around the node with the largest sum, and the same ones
+elsewhere, say nothing: they stand on the article. (For that sum words count less than elements.) Names so decide nothing by themselves, only density does.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ _WORD = re.compile(r"[a-z]+")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-#: Elements and class, id or role words that are never part of an article.
+#: What is left of the density of text inside a named node; and while the largest sum is looked for, of text inside nodes that words of their class, id or role name.
+LOWERED, SUSPECT = 0.02, 0.25
+#: Elements and class, id or role words that lower a node's density.
 ASIDE = {"nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "audio", "video", "dialog", "menu", "head", "fieldset", "input"}
 ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "form", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "contentinfo", "complementary", "alert"}
 HEADER_WORDS = {"header", "masthead"}
@@ -30,25 +34,21 @@ ROOTS = {"article", "main"}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "c", "t", "lc", "lt", "aside")
+    __slots__ = ("tag", "parent", "children", "c", "t", "lc", "lt", "aside", "names", "factor")
 
-    def __init__(self, tag, parent, aside=False):
-        self.tag, self.parent, self.children, self.aside = tag, parent, [], aside
+    def __init__(self, tag, parent, aside=False, names=""):
+        self.tag, self.parent, self.children, self.aside, self.names = tag, parent, [], aside, names
         self.c = self.t = self.lc = self.lt = 0
+        self.factor = 1.0
 
 
-def _is_aside(tag: str, attributes: str, inside_root: bool) -> bool:
-    if tag in ROOTS or tag in ("body", "html"):
-        return False
-    if tag in ASIDE or tag == "header" and not inside_root:
-        return True
-    if "=" in attributes:
-        low = attributes.lower()
-        for m in _NAMES.finditer(low):
-            words = set(_WORD.findall(m[1] or m[2] or m[3] or ""))
-            if words & ASIDE_WORDS or words & HEADER_WORDS and not inside_root:
-                return True
-    return False
+def _names(tag: str, attributes: str, inside_root: bool) -> str:
+    """The class, id and role of a node, if a word of theirs is that of an aside."""
+    if tag in ROOTS or tag in ("body", "html") or "=" not in attributes:
+        return ""
+    found = [m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attributes.lower())]
+    words = set(_WORD.findall(" ".join(found)))
+    return "|".join(found) if words & ASIDE_WORDS or words & HEADER_WORDS and not inside_root else ""
 
 
 def parse(page: str) -> _Node:
@@ -109,11 +109,12 @@ def parse(page: str) -> _Node:
                 break
         if tag in ROOTS:
             for i in range(1, len(stack)):
-                if stack[i].aside:
+                if stack[i].aside or stack[i].names:
                     close(i)
                     break
         links = 0
-        node = _Node(tag, stack[-1], _is_aside(tag, attributes, any(x.tag in ROOTS for x in stack)))
+        within = any(x.tag in ROOTS for x in stack)
+        node = _Node(tag, stack[-1], tag in ASIDE or tag == "header" and not within, _names(tag, attributes, within))
         stack[-1].children.append(node)
         if not attributes.rstrip().endswith("/") or tag not in VOID:
             stack.append(node)
@@ -122,17 +123,17 @@ def parse(page: str) -> _Node:
 
 
 def _walk(root: _Node) -> list[_Node]:
-    """All nodes outside of asides, parents first."""
+    """All nodes, parents first."""
     out, todo = [], [root]
     while todo:
         n = todo.pop()
         out.append(n)
-        todo += [x for x in reversed(n.children) if isinstance(x, _Node) and not x.aside]
+        todo += [x for x in reversed(n.children) if isinstance(x, _Node)]
     return out
 
 
 def _density(n: _Node, body: _Node) -> float:
-    """Characters per tag, adjusted for links.
+    """Characters per tag, adjusted for links and for names.
 
     The published form is C/T log_b(C/LC T/LT) with b = ln(C/(C-LC) LC + LC_body/C_body C + e). It is kept but for three cases, so that
     small nodes do not get boundless or negative densities: without links it is C/T; ln(b) counts as ln(b + 1) and 1 at least; and
@@ -142,9 +143,9 @@ def _density(n: _Node, body: _Node) -> float:
         return 0.0
     t, lc, lt = max(n.t, 1), max(n.lc, 1), max(n.lt, 1)
     if not n.lc:
-        return n.c / t
+        return n.factor * n.c / t
     base = math.log(n.c * n.lc / max(n.c - n.lc, 1) + body.lc * n.c / max(body.c, 1) + math.e)
-    return n.c / t * max(0.0, math.log(n.c / lc * t / lt + 1e-9)) / max(math.log(base + 1), 1.0) if n.lc < n.c else 0.0
+    return n.factor * n.c / t * max(0.0, math.log(n.c / lc * t / lt + 1e-9)) / max(math.log(base + 1), 1.0) if n.lc < n.c else 0.0
 
 
 def main_text(page: str | None) -> str:
@@ -154,22 +155,37 @@ def main_text(page: str | None) -> str:
     for n in reversed(nodes):
         for x in n.children:
             if isinstance(x, _Node):
-                if not x.aside:
-                    n.c, n.t, n.lc, n.lt = n.c + x.c, n.t + x.t + 1, n.lc + x.lc, n.lt + x.lt
+                n.c, n.t, n.lc, n.lt = n.c + x.c, n.t + x.t + 1, n.lc + x.lc, n.lt + x.lt
             else:
                 k = len("".join(x[0].split()))
                 n.c += k
                 n.lc += k if x[1] else 0
-    own = {id(n): _density(n, body) for n in nodes}
-    sums = {id(n): sum(own[id(x)] if isinstance(x, _Node) else len("".join(x[0].split())) * (not x[1]) for x in n.children if not (isinstance(x, _Node) and x.aside)) for n in nodes}
-    best = max(nodes, key=lambda n: sums[id(n)])
-    least, up = own[id(best)], best
-    while up is not None:
-        least, up = min(least, own[id(up)]), up.parent
+    spoken: set[str] = set()
+    for suspect in (SUSPECT, LOWERED):
+        left: dict[int, float] = {}
+        for n in nodes:
+            up = left[id(n.parent)] if n.parent is not None else 1.0
+            left[id(n)] = up * LOWERED if n.aside else min(up, suspect) if n.names and n.names not in spoken else up
+            n.factor = left[id(n)]
+        if suspect == SUSPECT:  # a node counts as much as the text below it
+            light: dict[int, float] = {}
+            for n in reversed(nodes):
+                light[id(n)] = sum(light[id(x)] if isinstance(x, _Node) else n.factor * len("".join(x[0].split())) for x in n.children)
+            for n in nodes:
+                n.factor = light[id(n)] / n.c if n.c else n.factor
+        own = {id(n): _density(n, body) for n in nodes}
+        said = lambda n: left[id(n)] * sum(len("".join(x[0].split())) for x in n.children if isinstance(x, tuple) and not x[1])
+        sums = {id(n): sum(own[id(x)] for x in n.children if isinstance(x, _Node)) + said(n) for n in nodes}
+        best = max(nodes, key=lambda n: sums[id(n)])
+        path = [best]
+        while path[-1].parent is not None:
+            path.append(path[-1].parent)
+        spoken |= {n.names for n in path if n.names}
+    least = min(own[id(n)] for n in path)
     top: dict[int, _Node] = {}
     for n in reversed(nodes):
-        top[id(n)] = max([n, *(top[id(x)] for x in n.children if isinstance(x, _Node) and not x.aside)], key=lambda x: sums[id(x)])
-    bare = {id(n) for n in nodes if own[id(n)] >= least and sum(len("".join(x[0].split())) for x in n.children if isinstance(x, tuple) and not x[1]) >= max(least, 1)}
+        top[id(n)] = max([n, *(top[id(x)] for x in n.children if isinstance(x, _Node))], key=lambda x: sums[id(x)])
+    bare = {id(n) for n in nodes if own[id(n)] >= least and said(n) >= max(least, 1)}
     articles = {id(top[id(n)]) for n in nodes if n.c and own[id(n)] >= least}
     parts: list[str] = []
     todo: list = [(body, False)]
@@ -179,8 +195,8 @@ def main_text(page: str | None) -> str:
             parts.append(x)
         elif isinstance(x, tuple):
             parts.append(x[0] if inside else " ")
-        elif not x.aside:
-            inside = id(x) in articles or inside and (own[id(x)] >= least or 2 * x.lc <= x.c)
+        else:
+            inside = id(x) in articles or inside and (own[id(x)] >= least or 2 * x.lc <= x.c and x.factor == 1)
             parts.append(" ")
             todo.append((" ", False))
             todo += [(y, inside or isinstance(y, tuple) and id(x) in bare) for y in reversed(x.children)]
