@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.functions import codecs
 from eventloom.operators.expressions import compile_expression
-from eventloom.operators.relational import CannotMerge, join_with_suffix, row_slice
+from eventloom.operators.relational import CannotMerge, check_disjoint, check_equal, join_with_suffix, row_slice, with_row_index
+from eventloom.runtime import cut
 
 VERSION = "v1.0.0"
 
@@ -48,11 +51,11 @@ class TableStore:
     def path(self, node: str) -> str:
         return f"{self.root.rstrip('/')}/{node.strip('/')}"
 
-    def write(self, df: DataFrame, node: str, partition_by: list[str] | None = None, mode: str = "errorifexists", fixed: dict[str, tuple[float, float]] | None = None, enums: dict[str, dict[str, int]] | None = None, meta: dict | None = None) -> None:
-        """Write a node: `fixed` columns as scaled integers, `enums` as numbers; both are undone on reading."""
-        for c, (scale, offset) in (fixed or {}).items():
+    def write(self, df: DataFrame, node: str, partition_by: list[str] | None = None, mode: str = "errorifexists", fixed: dict[str, tuple] | None = None, enums: dict[str, dict[str, int]] | None = None, meta: dict | None = None) -> None:
+        """Write a node: `fixed` columns as scaled integers (scale, offset and, unless uint16, the type), `enums` as numbers; both are undone on reading."""
+        for c, how in (fixed or {}).items():
             old = df.schema[c].metadata
-            df = df.withColumn(c, codecs.encode_fixed(F.col(c), scale, offset)).withMetadata(c, {**old, "fixed": json.dumps([scale, offset])})
+            df = df.withColumn(c, codecs.encode_fixed(F.col(c), *how)).withMetadata(c, {**old, "fixed": json.dumps(list(how))})
         for c, values in (enums or {}).items():
             df = df.withColumn(c, codecs.encode_enum(F.col(c), values)).withMetadata(c, {"enum": json.dumps(values)})
         w = df.write.mode(mode)
@@ -61,29 +64,65 @@ class TableStore:
         self.spark.createDataFrame([(node, about)], "node string, about string").write.mode("overwrite").parquet(self.path(f"_about/{node}"))
 
     def exists(self, node: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(node))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        try:
+            return bool(self.spark.read.parquet(self.path(f"_about/{node}")).columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+
+    def nodes(self) -> list[str]:
+        """All nodes written, in order of their names."""
+        try:
+            about = self.spark.read.option("recursiveFileLookup", "true").parquet(self.path("_about"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return sorted(r.node for r in about.select("node").distinct().collect())
+
+    def append(self, df: DataFrame, node: str, once: bool = False) -> None:
+        """Rows of one more table for a node, which is made if it is not there; with `once` they must be those it has.
+
+        Columns must be those of the node, in any order; values are cast to its types, and encoded as its are. An error if not, or for another data model.
+        """
+        if not self.exists(node):
+            self.write(df, node)
+            return
+        self.check_version(node)
+        old = self.spark.read.parquet(self.path(node))
+        if set(df.columns) != set(old.columns):
+            raise CannotMerge(f"{node}: columns differ: {sorted(set(df.columns) ^ set(old.columns))}")
+        if once:
+            check_equal(self.read(node).select(*df.columns), df)
+            return
+        columns = []
+        for f in old.schema:
+            c = F.col(f.name)
+            if "fixed" in f.metadata:
+                c = codecs.encode_fixed(c, *json.loads(f.metadata["fixed"]))
+            elif "enum" in f.metadata and isinstance(df.schema[f.name].dataType, T.StringType):
+                c = codecs.encode_enum(c, json.loads(f.metadata["enum"]))
+            columns.append(c.cast(f.dataType).alias(f.name, metadata=f.metadata))
+        df.select(*columns).write.mode("append").parquet(self.path(node))
 
     def meta(self, node: str) -> dict:
         return json.loads(self.spark.read.parquet(self.path(f"_about/{node}")).first()["about"])
 
     def read(self, node: str, condition: str | None = None, start: int | None = None, stop: int | None = None, step: int = 1, columns: list[str] | None = None, decode_enums: bool = False) -> DataFrame:
-        """A node with its codecs undone. `condition` reaches the Parquet reader; start, stop and step need a row_idx column."""
+        """A node with its codecs undone. `condition` is on decoded values, and reaches the Parquet reader for columns without a code; start, stop and step need a row_idx column."""
         df = self.spark.read.parquet(self.path(node))
         if start is not None or stop is not None:
             df = row_slice(df, start or 0, stop if stop is not None else 2**62, step)
-        if condition:
-            df = df.where(compile_expression(condition, df.columns))
-        if columns:
-            df = df.select(*columns)
         for f in df.schema:
+            rest = {k: v for k, v in f.metadata.items() if k != "fixed"}
             if "fixed" in f.metadata:
-                scale, offset = json.loads(f.metadata["fixed"])
-                df = df.withColumn(f.name, codecs.decode_fixed(F.col(f.name), scale, offset))
+                df = df.withColumn(f.name, codecs.decode_fixed(F.col(f.name), *json.loads(f.metadata["fixed"]))).withMetadata(f.name, rest)
             if decode_enums and "enum" in f.metadata:
-                df = df.withColumn(f.name, codecs.decode_enum(F.col(f.name), json.loads(f.metadata["enum"])))
-        return df
+                df = df.withColumn(f.name, codecs.decode_enum(F.col(f.name), json.loads(f.metadata["enum"]))).withMetadata(f.name, {k: v for k, v in rest.items() if k != "enum"})
+        if condition:
+            df = df.where(compile_expression(condition, dict(df.dtypes)))
+        return df.select(*columns) if columns else df
 
     def check_version(self, node: str) -> None:
         if (v := self.meta(node)["version"].split(".")[0]) != VERSION.split(".")[0]:
@@ -121,10 +160,53 @@ class TableLoader:
             df = join_with_suffix(df, self.store.read(instrument), ["tel_id"])
         return df
 
+    def of_observations(self, df: DataFrame, observations: Sequence[int]) -> DataFrame:
+        """The events of some observations; the filter reaches the reader of the first node."""
+        return df.where(F.col(self.event_keys[0]).isin(list(observations)))
+
+    def information(self, node: str) -> DataFrame:
+        """A node that describes observations, scheduling or simulation as it is; an error if it is not there."""
+        if not self.store.exists(node):
+            raise ValueError(f"the store has no {node}")
+        return self.store.read(node)
+
+    def chunked(self, df: DataFrame, size: int, order: Sequence[str]) -> Iterator[tuple[int, int, DataFrame]]:
+        """(start, stop, rows) of a joined view in pieces of `size` rows of this order, the last one shorter; none of an empty view.
+
+        The index is made in one pass without one task for all rows and written once; each piece is a filter of it, so pieces may be read in any order. Rows equal in
+        `order` are told apart, but not in the same way each time.
+        """
+        if size < 1:
+            raise ValueError("size must be positive")
+        rows = cut(with_row_index(df, list(order), "__row"))
+        n = rows.count()
+        for start in range(0, n, size):
+            yield start, min(start + size, n), row_slice(rows, start, start + size, index="__row").drop("__row")
+
     def by_type(self, df: DataFrame, types: list[str], column: str = "type") -> dict[str, DataFrame]:
         return {t: df.where(F.col(column) == t) for t in types}
 
 
+def merge_stores(target: TableStore, sources: Sequence[TableStore], once: Sequence[str] = (), required: Sequence[str] = (), drop: Mapping[str, Sequence[str]] | None = None, observation: str = "obs_id", events: str | None = None) -> list[str]:
+    """Append every node of the sources to the target; the nodes that were written.
+
+    Nodes in `once` are the same in all sources and are kept once. `required` nodes must be in each source, `drop` names columns to leave out. With
+    `events`, the node that tells the observations, no two of the tables may share one.
+    """
+    drop, done = drop or {}, []
+    for s in sources:
+        here = s.nodes()
+        if missing := sorted(set(required) - set(here)):
+            raise CannotMerge(f"{s.root} has no {', '.join(missing)}")
+        if events and events in here and target.exists(events):
+            check_disjoint(target.read(events), s.read(events), observation)
+        for n in here:
+            s.check_version(n)
+            target.append(s.read(n).drop(*drop.get(n, ())), n, once=n in once)
+            done += [] if n in done else [n]
+    return done
+
+
 def event_schema() -> dict[str, T.StructType]:
     """Spark types of the main nodes; units are in the metadata."""
     u = lambda x: {"unit": x}
