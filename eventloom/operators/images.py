@@ -164,7 +164,8 @@ def islands(mask: Column, camera: Camera) -> Column:
                 out.iloc[lot] = list(_label(on, near))
         return out
 
-    return label(mask)
+    # so called, it stays a step of its own and is never moved into the lambdas of what is made of it, where it could not run
+    return label.asNondeterministic()(mask)
 
 
 def _label(on: np.ndarray, near: np.ndarray) -> np.ndarray:

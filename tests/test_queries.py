@@ -2,7 +2,7 @@
 
 import pytest
 
-from eventloom.plans import catalogue, chain_queries, event_queries, fit_queries, grid_queries, series_queries, store_queries, table_queries  # noqa: F401
+from eventloom.plans import catalogue, chain_queries, event_queries, fit_queries, grid_queries, series_queries, store_queries, table_queries, variant_queries  # noqa: F401
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
