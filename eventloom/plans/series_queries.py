@@ -461,10 +461,19 @@ def li_ma_significance(spark, d):
     return c.where("a > 0 and b > 0").select("tel_id", r6(response.li_ma(F.col("a"), F.col("b"), 0.2)).alias("significance"))
 
 
-@query("sensitivity_scan")
+_ON = "(ns * pow(10, (a[1] + a[2]) / 2) + 0.2 * nb)"
+_SURE = f"(sign({_ON} - 0.2 * nb) * sqrt(2 * greatest({_ON} * ln(1.2 / 0.2 * {_ON} / ({_ON} + nb)) + CASE WHEN nb > 0 THEN nb * ln(1.2 * nb / ({_ON} + nb)) ELSE 0 END, 0)) >= 5)"
+
+
+@query("sensitivity_scan", f"""WITH {_EV}, w AS (SELECT unnest([0.2, 0.4, 0.6, 0.8, 0.95]) AS efficiency, unnest(range(5)) AS i), sg AS (SELECT bin, s FROM ev WHERE bin >= 0 AND q < 0.05), bg AS (SELECT bin, s FROM ev WHERE bin >= 0 AND q >= 0.05),
+c AS (SELECT bin, unnest(quantile_cont(s, [0.8, 0.6, 0.4, 0.2, 0.05])) AS cut, unnest(range(5)) AS i FROM sg GROUP BY 1), k AS (SELECT c.*, w.efficiency, (SELECT count(*) FROM sg WHERE sg.bin = c.bin AND sg.s >= c.cut)::DOUBLE AS ns, (SELECT count(*) FROM bg WHERE bg.bin = c.bin AND bg.s >= c.cut)::DOUBLE AS nb FROM c JOIN w USING (i)),
+h AS (SELECT *, list_reduce(list_prepend([-8::DOUBLE, 8], list_transform(range(60), lambda r: [0::DOUBLE, 0])), lambda a, r: CASE WHEN {_SURE} THEN [a[1], (a[1] + a[2]) / 2] ELSE [(a[1] + a[2]) / 2, a[2]] END)[2] AS hi FROM k WHERE ns > 0),
+x AS (SELECT *, greatest(pow(10, hi), 10 / ns, 0.05 * 0.2 * nb / ns) AS sensitivity FROM h), b AS (SELECT bin, arg_min({{'e': efficiency, 'c': cut, 's': sensitivity}}, (sensitivity, i)) AS b FROM x GROUP BY 1)
+SELECT bin::INT AS bin, {s6('b.e')} AS efficiency, {s6('b.c')} AS cut, {s6('b.s')} AS sensitivity FROM b""")
 def sensitivity_scan(spark, d):
     ev = scored(spark, d)
-    return response.scan_efficiencies(ev.where("q < 0.05"), ev.where("q >= 0.05"), "s", "e", EDGES, [0.2, 0.4, 0.6, 0.8, 0.95], 0.2)
+    got = response.scan_efficiencies(ev.where("q < 0.05"), ev.where("q >= 0.05"), "s", "e", EDGES, [0.2, 0.4, 0.6, 0.8, 0.95], 0.2)
+    return got.select("bin", *[r6(F.col(c).cast("double")).alias(c) for c in ("efficiency", "cut", "sensitivity")])
 
 
 # -- models --------------------------------------------------------------------------------------------------------

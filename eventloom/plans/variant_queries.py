@@ -31,11 +31,11 @@ def image_core_cleaning(spark, d):
 
 @query("image_largest_island", f"""WITH RECURSIVE {_CLEAN}, w(vec_id, p, root) AS (SELECT vec_id, p, p FROM m WHERE keep UNION SELECT w.vec_id, e.q, w.root FROM w JOIN e ON w.p = e.p JOIN m ON m.vec_id = w.vec_id AND m.p = e.q AND m.keep),
 l AS (SELECT vec_id, p, min(root) AS root FROM w GROUP BY 1, 2), s AS (SELECT vec_id, arg_min(root, (-n, root)) AS root FROM (SELECT vec_id, root, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1)
-SELECT m.vec_id, string_agg(CASE WHEN l.root IS NOT NULL AND l.root = s.root THEN '1' ELSE '0' END, '' ORDER BY m.p) AS mask FROM m LEFT JOIN l USING (vec_id, p) LEFT JOIN s ON s.vec_id = m.vec_id GROUP BY 1""")
+SELECT m.vec_id, string_agg(CASE WHEN l.root IS NOT NULL AND l.root = s.root THEN '1' ELSE '0' END, '' ORDER BY m.p) AS mask, count(*) FILTER (keep)::INT AS n_pixels FROM m LEFT JOIN l USING (vec_id, p) LEFT JOIN s ON s.vec_id = m.vec_id GROUP BY 1""")
 def image_largest_island(spark, d):
     """The first of the islands with most pixels."""
     c = cleaned(spark, d).withColumn("labels", images.islands(F.col("mask"), CAMERA))
-    return c.select("vec_id", bits(images.largest_island(F.col("labels"))).alias("mask"))
+    return c.select("vec_id", bits(images.largest_island(F.col("labels"))).alias("mask"), F.size(F.filter("mask", lambda x: x)).alias("n_pixels"))
 
 
 def _rows_of_eight(spark, d):
