@@ -224,8 +224,10 @@ def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", t
     words = F.explode(F.split("terms", " ")).alias("term")
     own = seen.join(most, "key").select("key", "n", bound.alias("bound"), words).where("term <> ''")
     several = own.groupBy("term").agg(F.count("*").alias("texts"), F.sum("n").alias("least")).where("texts > 1").select("term", "least")
-    own = cut(own.join(several, "term").where("least <= bound").select("key", "bound", "term"))
-    sent = _bitmap(own.select("term").distinct())
+    own = own.join(several, "term").where("least <= bound").select("key", "term")
+    # a pair needs two texts of its own; only terms of such pairs are counted in all documents
+    n_et = cut(own.join(each, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where("texts > 1"))
+    sent = _bitmap(n_et.select("term").distinct())
 
     def frequencies(batches):
         bitmap, rungs = sent.value, _Rungs()
@@ -253,9 +255,7 @@ def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", t
     n_t = cut(d.select("t").mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")))
     pmi = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.round(pmi / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9)), 9)
-    rare = own.join(n_t, "term").where("n_t <= bound")
-    n_et = rare.join(each, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"), F.first("n_t").alias("n_t"))
-    pairs = n_et.where("texts > 1").join(n_e, "entity").withColumn("share", share).where(F.col("share") >= threshold)
+    pairs = n_et.join(n_t, "term").join(n_e, "entity").withColumn("share", share).where(F.col("share") >= threshold)
     copies = F.col("n_et") - F.col("texts")
     pairs = pairs.where(by_chance(F.lit(total) - copies, "e_texts", F.col("n_t") - copies, "texts") <= level / tried)
     pairs = cut(pairs.select("entity", "term", "share", narrow("term").alias("narrow")))
