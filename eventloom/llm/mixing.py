@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,8 +122,9 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, keep: float = 0
         targets = {k: tempered(local.groupby(k)["tokens"].sum(), p) for k, p in names.items()}
         local["weight"] = rake(local, targets) if local["tokens"].sum() else 0.0
         local["probability"] = probabilities(local["tokens"].to_numpy(float), local["weight"].to_numpy(float), keep * float(local["tokens"].sum()))
-        schema = ", ".join(f"`{k}` string" for k in names) + ", probability double"
-        rates = docs.sparkSession.createDataFrame(local[[*names, "probability"]], schema)
+        schema = pa.schema([*((k, pa.string()) for k in names), ("probability", pa.float64())])
+        # as Arrow: rows from Python would need workers of another kind
+        rates = docs.sparkSession.createDataFrame(pa.Table.from_pandas(local[[*names, "probability"]], schema, preserve_index=False))
         rates = F.broadcast(rates)
     else:
         w = rake_joined(cells, names)

@@ -244,21 +244,21 @@ def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", t
             if n:
                 yield pd.DataFrame({"term": list(n), "n": list(n.values())})
 
-    @F.pandas_udf("double")
-    def by_chance(n: pd.Series, n_e: pd.Series, n_t: pd.Series, n_et: pd.Series) -> pd.Series:
-        return pd.Series([chance(*x) for x in zip(n.tolist(), n_e.tolist(), n_t.tolist(), n_et.tolist(), strict=True)], dtype=float)
-
-    @F.pandas_udf("string")
-    def narrow(term: pd.Series) -> pd.Series:
-        return term.map(_Rungs())
+    def telling(batches):
+        rungs = _Rungs()
+        for b in filter(len, batches):
+            p = np.array([chance(*x) for x in zip(*(b[c].tolist() for c in ("n", "n_e", "n_t", "n_et")), strict=True)])
+            b = b[p <= level / tried]
+            yield b[["entity", "term", "share"]].assign(narrow=b["term"].map(rungs).astype(object))
 
     n_t = cut(d.select("t").mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")))
     pmi = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.round(pmi / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9)), 9)
     pairs = n_et.join(n_t, "term").join(n_e, "entity").withColumn("share", share).where(F.col("share") >= threshold)
     copies = F.col("n_et") - F.col("texts")
-    pairs = pairs.where(by_chance(F.lit(total) - copies, "e_texts", F.col("n_t") - copies, "texts") <= level / tried)
-    pairs = cut(pairs.select("entity", "term", "share", narrow("term").alias("narrow")))
+    pairs = pairs.select("entity", "term", "share", (F.lit(total) - copies).alias("n"), F.col("e_texts").alias("n_e"), (F.col("n_t") - copies).alias("n_t"), F.col("texts").alias("n_et"))
+    # One Python step: a task with two of them holds two workers, and executors keep as many for all that follows.
+    pairs = cut(pairs.mapInPandas(telling, "entity string, term string, share double, narrow string"))
     # How much each rung tells of each entity; rungs are a dozen.
     kinds = seen.select("key", "rungs", F.transform("rungs", wide).alias("w")).select("key", F.explode(F.array_distinct(F.concat("rungs", "w"))).alias("term"))
     rungs = kinds.join(each, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et")).join(n_t, "term").join(n_e, "entity").select("entity", F.col("term").alias("rung"), share.alias("tells"))

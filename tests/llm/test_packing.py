@@ -1,7 +1,9 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.llm import packing
 from eventloom.llm.queries import op3_best_fit_packing, vocabulary
@@ -81,6 +83,31 @@ def test_nnls():
     assert np.allclose(packing.nnls(a, a @ x), x, atol=1e-5)
 
 
+def test_plan_needs_little_memory():
+    """The driver holds no table of all pairs of patterns."""
+    import tracemalloc
+
+    hist = np.random.default_rng(1).integers(0, 50, 2049)
+    hist[0] = 0
+    tracemalloc.start()
+    packing.plan(hist, 2048)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+
+
+def test_no_rows_from_python(spark, small, monkeypatch):
+    """Lists of rows become a table by Python workers of another kind, which executors keep beside the others."""
+    from eventloom.llm import mixing
+
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source", "lang")
+    make = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: make(self, data, *a, **b) if isinstance(data, pa.Table) else pytest.fail("rows from Python"))
+    pieces = d.select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.length("text") % 2048 + 1).cast("long").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    assert packing.pack(pieces, 2048).count() == d.count()
+    assert 0 < mixing.mix(d).where("kept").count() < d.count()
+
+
 def test_lots_of_one_length(spark, monkeypatch):
     """Most documents have the same length: they are ranked in several lots and get places of their own."""
     monkeypatch.setattr(packing, "LOT", 7)

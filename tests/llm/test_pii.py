@@ -112,6 +112,20 @@ def test_one_text_tells_nothing(spark):
     assert "xanthippe" in {r.term for r in terms.collect()} and not any(r.term.startswith(("secretly", "unheard")) for r in terms.collect())
 
 
+def test_one_python_step_a_task(spark, monkeypatch):
+    """Each Python step of a task holds a worker of its own, and executors keep them."""
+    plans, cut = [], pii.cut
+    monkeypatch.setattr(pii, "cut", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), cut(df))[1])
+    rows = [f"plain text number {i}" for i in range(2000)] + [f"the Xanthippe{c} file of boss@y.net" for c in ("", " two", " three")]
+    terms, _ = pii.disclosing_terms(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert "xanthippe" in {r.term for r in terms.collect()}
+    for plan in plans:
+        steps = 0
+        for line in plan.splitlines():
+            steps = 0 if re.search("Join|Aggregate|Exchange", line) else steps + bool(re.search("EvalPython|InPandas|InArrow", line))
+            assert steps < 2, plan
+
+
 def test_ladder(spark):
     """A term becomes the first rung that does not give the entity away itself; without one it goes."""
     rows = [f"Zorvath K9 about anna@x.org {i}" for i in range(4)] 
