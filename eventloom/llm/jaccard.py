@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm import graph, text as tx
@@ -289,8 +289,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
 
     pivots = F.slice("window", 1, F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1)
     posts = windows.where("fp is not null").select("row", "n", F.posexplode(pivots).alias("pos", "pivot")).select("pivot", "row", (F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("np"))
-    shared = posts.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").select("pivot")
-    region = posts.join(shared, "pivot").join(copies, "row", "left").where("c is null")
+    # Nearly every pivot is of one row only: counting first would shuffle as much again as the posts.
+    shared = posts.withColumn("m", F.count("*").over(Window.partitionBy("pivot"))).where("m > 1")
+    region = shared.join(copies, "row", "left").where("c is null")
     region = region.select("pivot", F.col("np").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"), F.col("row").alias("c"), F.shiftright("np", 32).cast("int").alias("n"))
     region = cut(region)
     size = region.count()

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.llm import graph, jaccard
 from eventloom.llm.queries import op4_jaccard_join
@@ -101,3 +102,32 @@ def test_template_texts(spark):
     rows = [(i, " ".join(r.sample(lines, 5))) for i in range(2000)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(jaccard.near_duplicates(d, k=5, num=80)) == brute(rows, 5, 80)
+
+
+def test_posts_are_made_once(spark, small, monkeypatch):
+    """The entries of all windows are by far the largest table; which of them share a pivot is found where they meet."""
+    plans, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), cut(df))[1])
+    result(op4_jaccard_join(spark, small))
+    made = [p.count("Generate posexplode") for p in plans]
+    assert 1 in made and max(made) == 1
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    """They would stay until the driver collects its garbage; a table that is cut can still be used itself, and the setting is as before."""
+    import time
+
+    from eventloom.runtime import CLEANUP, cut
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", files))
+
+    before, was = shuffled(), spark.conf.get(CLEANUP)
+    df = spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count()
+    assert cut(df).agg(F.sum("count")).first()[0] == 100_000 and cut(df).count() == 1000
+    end = time.time() + 10
+    while (left := shuffled() - before) and time.time() < end:
+        time.sleep(0.1)
+    assert len(left) <= 8 + 8  # of the two queries over what was cut, a file for each task
+    assert df.count() == 1000 and spark.conf.get(CLEANUP) == was
