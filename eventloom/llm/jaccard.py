@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     shared = posts.withColumn("m", F.count("*").over(Window.partitionBy("pivot"))).where("m > 1")
     region = shared.join(copies, "row", "left").where("c is null")
     region = region.select("pivot", F.col("np").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"), F.col("row").alias("c"), F.shiftright("np", 32).cast("int").alias("n"))
-    region = cut(region)
+    region = cut(region, clean=True)  # by far the largest shuffle
     size = region.count()
 
     corpus = _Corpus(d, points, k, num, den)

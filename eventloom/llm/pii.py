@@ -38,6 +38,8 @@ _TERM = re.compile(r"[^\W_]+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 #: Bits of the bitmap, and of each of the regions it is put together from.
 BITS, REGION = 1 << 26, 1 << 18
+#: Terms that a task counts before it passes them on.
+TALLY = 100_000
 
 
 def _luhn(digits: str) -> bool:
@@ -224,15 +226,18 @@ def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", t
     words = F.explode(F.split("terms", " ")).alias("term")
     own = seen.join(most, "key").select("key", "n", bound.alias("bound"), words).where("term <> ''")
     several = own.groupBy("term").agg(F.count("*").alias("texts"), F.sum("n").alias("least")).where("texts > 1").select("term", "least")
-    own = own.join(several, "term").where("least <= bound").select("key", "term")
+    own = own.join(several, "term").where("least <= bound").select("key", "term", "least")
     # a pair needs two texts of its own; only terms of such pairs are counted in all documents
-    n_et = cut(own.join(each, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where("texts > 1"))
+    n_et = own.join(each, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"), F.first("least").alias("least")).where("texts > 1")
+    # nor can a pair reach the threshold with more documents than it would if only texts with identifiers held the term
+    reach = F.pow(n / F.col("n_e"), F.lit(threshold)) <= n * F.col("n_et") / (F.col("n_e") * F.col("least")) * 1.001
+    n_et = cut(n_et.join(n_e.select("entity", "n_e"), "entity").where(reach).select("entity", "term", "n_et", "texts"))
     sent = _bitmap(n_et.select("term").distinct())
 
     def frequencies(batches):
         bitmap, rungs = sent.value, _Rungs()
+        n: Counter = Counter()
         for b in filter(len, batches):
-            n: Counter = Counter()
             for lot in _lots(b) if bitmap is not None else ():
                 bags = [_bag(t, find_base(t)) for t in lot["t"]]
                 known = _known(bitmap, list(set().union(*bags)))
@@ -241,8 +246,11 @@ def disclosing_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", t
                     narrow = set(map(rungs.__getitem__, bag))
                     n.update(narrow)
                     n.update({f"<{x.partition(' ')[2]}" for x in narrow})
-            if n:
+            if len(n) > TALLY:
                 yield pd.DataFrame({"term": list(n), "n": list(n.values())})
+                n.clear()
+        if n:
+            yield pd.DataFrame({"term": list(n), "n": list(n.values())})
 
     def telling(batches):
         rungs = _Rungs()

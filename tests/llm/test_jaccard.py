@@ -107,7 +107,7 @@ def test_template_texts(spark):
 def test_posts_are_made_once(spark, small, monkeypatch):
     """The entries of all windows are by far the largest table; which of them share a pivot is found where they meet."""
     plans, cut = [], jaccard.cut
-    monkeypatch.setattr(jaccard, "cut", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), cut(df))[1])
+    monkeypatch.setattr(jaccard, "cut", lambda df, **how: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), cut(df, **how))[1])
     result(op4_jaccard_join(spark, small))
     made = [p.count("Generate posexplode") for p in plans]
     assert 1 in made and max(made) == 1
@@ -125,7 +125,7 @@ def test_cut_leaves_no_shuffle_files(spark):
 
     before, was = shuffled(), spark.conf.get(CLEANUP)
     df = spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count()
-    assert cut(df).agg(F.sum("count")).first()[0] == 100_000 and cut(df).count() == 1000
+    assert cut(df, clean=True).agg(F.sum("count")).first()[0] == 100_000 and cut(df, clean=True).count() == 1000
     end = time.time() + 10
     while (left := shuffled() - before) and time.time() < end:
         time.sleep(0.1)
