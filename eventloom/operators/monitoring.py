@@ -23,7 +23,7 @@ class Series:
     """A table of values over time, and how a value between its rows is told.
 
     previous: the last row at or before; nearest: the closer one, the earlier of two as close; linear: the line between both neighbours; angle: the same the short
-    way round a circle of `period`. tolerance (seconds): how far the rows that are used may be at most; at the ends of linear and angle series a value
+    way round a circle of `period`; angles lie from 0 to `period`, either end where rounding leaves it open. tolerance (seconds): how far the rows that are used may be at most; at the ends of linear and angle series a value
     within the tolerance is that of the only neighbour, without a tolerance there is none (strict).
     """
 
@@ -43,6 +43,12 @@ def _seconds(time: Column, kind: str) -> Column:
     return F.unix_micros(time.cast("timestamp")) / 1e6 if kind.startswith(("timestamp", "date")) else time.cast("double")
 
 
+def _wrapped(x: Column, period: float) -> Column:
+    """x less its whole periods. Unlike pmod it does not turn a rounding below 0 into 0: that would send half a circle the other way round."""
+    turned = x - period * F.floor(x / period)
+    return F.when(F.abs(x) < 1e15 * period, turned).otherwise(F.pmod(x, F.lit(period)))
+
+
 def _between(s: Series, t: Column, before: Column, after: Column) -> Column:
     """The value at t from the neighbours struct(t, v); before may be at t itself."""
     back, ahead = t - before["t"], after["t"] - t
@@ -57,11 +63,11 @@ def _between(s: Series, t: Column, before: Column, after: Column) -> Column:
     share = F.when(after["t"] > before["t"], back / (after["t"] - before["t"]))
     step = after["v"] - before["v"]
     if s.mode == "angle":
-        step = F.pmod(step + s.period / 2, F.lit(s.period)) - s.period / 2
+        step = _wrapped(step + s.period / 2, s.period) - s.period / 2
     value = F.when(back == 0, before["v"]).when(before.isNotNull() & after.isNotNull() & near_b & near_a, before["v"] + share * step)
     if s.tolerance is not None:
         value = F.when(before.isNotNull() & after.isNotNull(), value).otherwise(nearest)
-    return F.pmod(value, F.lit(s.period)) if s.mode == "angle" else value
+    return _wrapped(value, s.period) if s.mode == "angle" else value
 
 
 def values_at(events: DataFrame, by: Sequence[str], time: str, series: Mapping[str, Series], bucket: float = 3600.0) -> DataFrame:
