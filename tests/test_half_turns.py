@@ -33,3 +33,8 @@ def tables(spark, tmp_path_factory):
 def test_pointing(spark, tables, same):
     d, con = tables
     same(catalogue.queries()["event_pointing"](spark, d), con, catalogue.oracle_sql()["event_pointing"])
+
+
+def test_values(spark, tables, same):
+    d, con = tables
+    same(catalogue.queries()["monitoring_values"](spark, d), con, catalogue.oracle_sql()["monitoring_values"])
