@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventloom.functions.common import let
+
 # W. J. Cody's rational approximations (Math. Comp. 23, 1969), numerator and denominator from the highest power.
 NEAR = ((1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3), (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3))
 MIDDLE = (
@@ -29,34 +31,49 @@ def _ratio(parts, x):
     return value[0] / value[1]
 
 
-def _forms(x, exp):
-    """(erf near 0, complement in the middle, complement far out) of x >= 0."""
-    square = x * x
-    far = exp(-square) / x * (1 / math.sqrt(math.pi) - _ratio(FAR, 1 / square) / square)
-    return x * _ratio(NEAR, square), exp(-square) * _ratio(MIDDLE, x), far
+def _near(a: Column) -> Column:
+    """erf from 0 to the first edge."""
+    return let(F.greatest(a, F.lit(1e-300)), lambda x: let(x * x, lambda square: x * _ratio(NEAR, square)))
+
+
+def _middle(a: Column) -> Column:
+    """The complement between the edges."""
+    return let(F.greatest(a, F.lit(1e-300)), lambda x: F.exp(-(x * x)) * _ratio(MIDDLE, x))
+
+
+def _far(a: Column) -> Column:
+    """The complement beyond them."""
+    return let(
+        F.greatest(F.least(a, F.lit(LAST)), F.lit(1.0)),
+        lambda x: let(x * x, lambda square: F.exp(-square) / x * (1 / math.sqrt(math.pi) - let(1 / square, lambda inverse: _ratio(FAR, inverse)) / square)),
+    )
 
 
 def erf(x: Column) -> Column:
-    a = F.abs(x.cast("double"))
-    near, middle, far = _forms(F.greatest(a, F.lit(1e-300)), F.exp)
-    far = _forms(F.greatest(F.least(a, F.lit(LAST)), F.lit(1.0)), F.exp)[2]
-    value = F.when(a <= EDGES[0], near).when(a <= EDGES[1], 1 - middle).otherwise(1 - far)
-    return F.when(F.isnan(a), a).otherwise(F.signum(x) * value)
+    def of(x: Column, a: Column) -> Column:
+        value = F.when(a <= EDGES[0], _near(a)).when(a <= EDGES[1], 1 - _middle(a)).otherwise(1 - _far(a))
+        return F.when(F.isnan(a), a).otherwise(F.signum(x) * value)
+
+    return let(x.cast("double"), lambda x: let(F.abs(x), lambda a: of(x, a)))
 
 
 def erfc(x: Column) -> Column:
     """1 - erf, without the loss of digits for large x."""
-    a = F.abs(x.cast("double"))
-    near, middle, _ = _forms(F.greatest(a, F.lit(1e-300)), F.exp)
-    far = _forms(F.greatest(F.least(a, F.lit(LAST)), F.lit(1.0)), F.exp)[2]
-    value = F.when(a <= EDGES[0], 1 - near).when(a <= EDGES[1], middle).otherwise(far)
-    return F.when(F.isnan(a), a).when(x < 0, 2 - value).otherwise(value)
+
+    def of(x: Column, a: Column) -> Column:
+        value = let(F.when(a <= EDGES[0], 1 - _near(a)).when(a <= EDGES[1], _middle(a)).otherwise(_far(a)), lambda v: F.when(x < 0, 2 - v).otherwise(v))
+        return F.when(F.isnan(a), a).otherwise(value)
+
+    return let(x.cast("double"), lambda x: let(F.abs(x), lambda a: of(x, a)))
 
 
 def normal_between(low: Column, high: Column, mean: Column, sigma: Column) -> Column:
     """Share of a normal distribution between two places; both in one tail are told apart to full precision."""
-    a, b = (low - mean) / (math.sqrt(2) * sigma), (high - mean) / (math.sqrt(2) * sigma)
-    return F.when(a > 0, erfc(a) - erfc(b)).when(b < 0, erfc(-b) - erfc(-a)).otherwise(erf(b) - erf(a)) / 2
+
+    def between(a: Column, b: Column) -> Column:
+        return F.when(a > 0, erfc(a) - erfc(b)).when(b < 0, erfc(-b) - erfc(-a)).otherwise(erf(b) - erf(a)) / 2
+
+    return let((low - mean) / (math.sqrt(2) * sigma), lambda a: let((high - mean) / (math.sqrt(2) * sigma), lambda b: between(a, b)))
 
 
 def np_erfc(x: np.ndarray) -> np.ndarray:

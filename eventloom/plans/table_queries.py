@@ -135,7 +135,8 @@ _SQUARE = images.Camera.rectangular(8, 8, -0.02, 0.02)
 @query("muon_pixel_light")
 def muon_pixel_light(spark, d):
     """Every order is a ring; the light of all pixels of a small camera."""
-    o, k = table(spark, d, "orders"), F.col("o_orderkey").cast("double")
+    # an order is a few bytes but much work: one small file would be one task
+    o, k = table(spark, d, "orders").select("o_orderkey", "o_totalprice").repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey"), F.col("o_orderkey").cast("double")
     light = muon.pixel_light(_SQUARE.x, _SQUARE.y, F.col("o_totalprice") / 1e5, k, F.sin(k) / 500, F.cos(k) / 500, 0.012 + F.sin(k) / 1000, F.lit(0.001), 0.04 / 7, 12.0, 2.0, shape=muon.CIRCLE_IN_SQUARE)
     return o.select("o_orderkey", F.transform(light, r6).alias("light"))
 
