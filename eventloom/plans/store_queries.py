@@ -66,8 +66,5 @@ def store_chunks(spark, d):
     """The series in pieces of 4,000 rows by time."""
     s = new_store(spark)
     s.write(table(spark, d, "events").select("event_id", "ts", "value"), "series")
-    out = None
-    for start, _, rows in TableLoader(s).chunked(s.read("series"), 4000, ["ts", "event_id"]):
-        one = rows.agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"), r6(F.sum("value")).alias("total")).withColumn("chunk", F.lit(start // 4000).cast("long"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = TableLoader(s).numbered(s.read("series"), 4000, ["ts", "event_id"])
+    return rows.groupBy("chunk").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"), r6(F.sum("value")).alias("total"))

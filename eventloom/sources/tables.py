@@ -183,6 +183,12 @@ class TableLoader:
         for start in range(0, n, size):
             yield start, min(start + size, n), row_slice(rows, start, start + size, index="__row").drop("__row")
 
+    def numbered(self, df: DataFrame, size: int, order: Sequence[str], name: str = "chunk") -> DataFrame:
+        """df with the number (from 0) of the piece that chunked would give a row in: all pieces as groups of one pass, where their rows need not be told apart."""
+        if size < 1:
+            raise ValueError("size must be positive")
+        return with_row_index(df, list(order), "__row").withColumn(name, F.floor(F.col("__row") / size).cast("long")).drop("__row")
+
     def by_type(self, df: DataFrame, types: list[str], column: str = "type") -> dict[str, DataFrame]:
         return {t: df.where(F.col(column) == t) for t in types}
 
