@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventloom.functions import waveforms
@@ -38,6 +39,11 @@ def _core(sql: str) -> str:
     return f"CASE WHEN abs(cx) < 1e4 AND abs(cy) < 1e4 THEN round({sql} + 3.7e-5, 2) + 0.0 END"
 
 
+def _psi(line: Column, discount: Column) -> Column:
+    """line * 0.7 + discount * 15 to the last bit: SQL's 0.7 is a decimal, and 3 * 0.7 as doubles is not 2.1."""
+    return line * 7 / 10 + discount * 15
+
+
 @query("shower_geometry", f"""WITH {_TEL}, i AS (SELECT event_id, tel_id, line, energy AS intensity, (discount - 0.05) * 0.4 + energy * 1e-7 AS lon, (tax - 0.04) * 0.4 + energy * 3e-8 AS lat, line * 0.7 + discount * 15 AS psi, 0.2 + tax AS len, 0.05 + discount AS wid,
   s_acctbal / 20 AS x, 200 * sin(s_suppkey) AS y, 10 * cos(s_suppkey) AS z FROM tel JOIN supplier ON s_suppkey = tel_id),
 a AS (SELECT *, {_offset_sql('lon', 'lat')} AS p1, {_offset_sql(f'(lon + {_FAR} * cos(psi))', f'(lat + {_FAR} * sin(psi))')} AS p2 FROM i),
@@ -57,7 +63,7 @@ def shower_geometry(spark, d):
     place = table(spark, d, "supplier").select(F.col("s_suppkey").alias("tel_id"), (F.col("s_acctbal") / 20).alias("x"), (200 * F.sin(F.col("s_suppkey").cast("double"))).alias("y"), (10 * F.cos(F.col("s_suppkey").cast("double"))).alias("z"))
     e, x, t = F.col("energy"), F.col("discount"), F.col("tax")
     tel = tel_events(spark, d).join(place, "tel_id").select(
-        "event_id", "tel_id", "x", "y", "z", e.alias("intensity"), ((x - 0.05) * 0.4 + e * 1e-7).alias("fov_lon"), ((t - 0.04) * 0.4 + e * 3e-8).alias("fov_lat"), (F.col("line") * 0.7 + x * 15).alias("psi"),
+        "event_id", "tel_id", "x", "y", "z", e.alias("intensity"), ((x - 0.05) * 0.4 + e * 1e-7).alias("fov_lon"), ((t - 0.04) * 0.4 + e * 3e-8).alias("fov_lat"), _psi(F.col("line"), x).alias("psi"),
         (0.2 + t).alias("length"), (0.05 + x).alias("width"), F.lit(_ALT).alias("alt"), F.lit(_AZ).alias("az"), F.lit(_ALT0).alias("array_alt"), F.lit(_AZ0).alias("array_az"),
     )
     g = geometry.reconstruct(tel, ["event_id"], height=2000.0).where("size(telescopes) > 1")
