waveform_neighbor_peak: peaks computed once, where they are exploded

Symptom: 10,256 waveform images took 38 CPU seconds, though a peak needs only sums of a few neighbouring samples.
Evidence: exploding a column makes Spark test its size first, in a filter; the filter went below the projections, so the peaks were computed there as well, and in it the image was cast and cut again for every sample read. The summed waveform was also computed twice, for its maximum and for the maximum's place.
Fix: the expression itself is exploded, so there is no such filter, and the summed waveform is bound once before its peak is looked up. Results, null images and odd waveforms as before; a test reads the plan.
Effect: at 1 GB of input CPU 1381 -> 181 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.04 -> 0.04 GB, longest task 170 -> 9 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 6275 -> 294 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.26 -> 0.26 GB, longest task 525 -> 19 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 796 -> 157 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.02 -> 0.02 GB, longest task 113 -> 8 s, most memory of a task 0 -> 0 MB.

@@ -58,7 +58,8 @@ def neighbor_peak_index(waveforms: Column, neighbors: Column, local_weight: int
     n = F.size(waveforms[0])
 
     def one(w: Column, i: Column) -> Column:
-        return argmax(F.transform(F.sequence(F.lit(0), n - 1), lambda s: w[s].cast("double") * local_weight + F.aggregate(neighbors[i], F.lit(0.0), lambda acc, j: acc + waveforms[j][s].cast("double"))))
+        sums = F.transform(F.sequence(F.lit(0), n - 1), lambda s: w[s].cast("double") * local_weight + F.aggregate(neighbors[i], F.lit(0.0), lambda acc, j: acc + waveforms[j][s].cast("double")))
+        return let(sums, argmax)
 
     return F.transform(waveforms, one)
 

@@ -54,8 +54,9 @@ k AS (SELECT vec_id, pixel, arg_min(s, (-v, s)) AS peak FROM n GROUP BY 1, 2) SE
 def waveform_neighbor_peak(spark, d):
     """Three samples about the peak of the neighbours' sum, pixels in a row."""
     row = nested([[j for j in (i - 1, i + 1) if 0 <= j < 8] for i in range(8)])
-    w = _rows_of_eight(spark, d).select("vec_id", waveforms.neighbor_peak(F.col("w"), row, 3, 1).alias("e"))
-    return w.select("vec_id", F.posexplode("e").alias("pixel", "e")).select("vec_id", "pixel", r6(F.col("e.charge")).alias("charge"))
+    e = waveforms.neighbor_peak(F.col("w"), row, 3, 1)
+    # exploded where it is computed: of a column that is exploded Spark tests the size first, in a filter below that computes it all again
+    return _rows_of_eight(spark, d).select("vec_id", F.posexplode(e).alias("pixel", "e")).select("vec_id", "pixel", r6(F.col("e.charge")).alias("charge"))
 
 
 @query("camera_places", f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS x, l_discount * 5 AS y FROM lineitem), s AS (SELECT *, (x * sin(0.3) + y * cos(0.3)) / 28 AS lon, (x * cos(0.3) - y * sin(0.3)) / 28 AS lat FROM t)
